@@ -38,9 +38,9 @@ def canonical_pair(df: DataFrame, a: str, b: str, out: tuple[str, str] | None =
             F.col(name)
         )
 
-    return df.withColumns({"_a": checked(a), "_b": checked(b)}).withColumns(
-        {left: F.least("_a", "_b"), right: F.greatest("_a", "_b")}
-    ).drop("_a", "_b")
+    return df.withColumns({"_end_1": checked(a), "_end_2": checked(b)}).withColumns(
+        {left: F.least("_end_1", "_end_2"), right: F.greatest("_end_1", "_end_2")}
+    ).drop("_end_1", "_end_2")
 
 
 def map_distinct(df: DataFrame, column: str, out: str, fn: Callable[[Column], Column]) -> DataFrame:
