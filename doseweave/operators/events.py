@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from doseweave.operators.clean import ContractError, canonical_pair, usable_edges
 from doseweave.plans.ordering import dense_ids
+from doseweave.session import durable
 
 
 @dataclass(frozen=True)
@@ -29,23 +30,27 @@ def unified_edges(edges: DataFrame, a: str = "source", b: str = "target", event:
 
 
 def event_table(edges: DataFrame, a: str = "source", b: str = "target", event: str = "interaction_type") -> EventTable:
-    """Canonical pairs x events with dense ids in sorted order; duplicates collapse to one."""
-    facts = unified_edges(edges, a, b, event).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(event).alias("event"))
+    """Canonical pairs x events with dense ids in sorted order; duplicates collapse to one.
+
+    Numbering reads its input more than once, so each numbered table is made durable before the next uses it.
+    """
+    facts = durable(
+        unified_edges(edges, a, b, event).select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(event).alias("event"))
+    )
     ends = facts.select(F.explode(F.array("a", "b")).alias("smiles")).distinct()
-    drugs = dense_ids(ends, "smiles", "drug_idx")
-    per_event = facts.groupBy("event").agg(F.count(F.lit(1)).alias("n_pairs"))
-    events = dense_ids(per_event, "event", "event_idx")
-    coded = (
+    drugs = durable(dense_ids(ends, "smiles", "drug_idx"))
+    events = durable(dense_ids(facts.groupBy("event").agg(F.count(F.lit(1)).alias("n_pairs")), "event", "event_idx"))
+    n = drugs.agg(F.count(F.lit(1))).scalar()
+    coded = durable(
         facts.join(drugs.select(F.col("smiles").alias("a"), F.col("drug_idx").alias("drug_a")), "a")
         .join(drugs.select(F.col("smiles").alias("b"), F.col("drug_idx").alias("drug_b")), "b")
         .join(events.select("event", "event_idx"), "event")
-        .select("drug_a", "drug_b", "event_idx")
+        .withColumn("_n", n)
+        .select("drug_a", "drug_b", "event_idx", (F.col("drug_a") * F.col("_n") + F.col("drug_b")).alias("_key"))
     )
-    n = drugs.agg(F.count(F.lit(1))).scalar()
-    keyed = coded.select("drug_a", "drug_b").distinct().withColumn("_n", n)
-    numbered = dense_ids(keyed.withColumn("_key", F.col("drug_a") * F.col("_n") + F.col("drug_b")), "_key", "pair_id")
+    numbered = durable(dense_ids(coded.select("drug_a", "drug_b", "_key").distinct(), "_key", "pair_id"))
     pairs = numbered.select("pair_id", "drug_a", "drug_b")
-    labels = coded.join(pairs, ["drug_a", "drug_b"]).select("pair_id", "event_idx")
+    labels = coded.join(numbered.select("_key", "pair_id"), "_key").select("pair_id", "event_idx")
     return EventTable(drugs, events, pairs, labels)
 
 
@@ -98,7 +103,7 @@ def freeze_vocabulary(labels: DataFrame, train: DataFrame, min_pos: int, min_neg
         counts.withColumn("_n", n_train).withColumn("train_neg", F.col("_n") - F.col("train_pos")).drop("_n")
         .filter((F.col("train_pos") >= min_pos) & (F.col("train_neg") >= min_neg))
     )
-    return dense_ids(kept, "event_idx", "head_idx")
+    return dense_ids(durable(kept), "event_idx", "head_idx")
 
 
 def pos_weights(vocabulary: DataFrame, clip: float | None = None) -> DataFrame:
