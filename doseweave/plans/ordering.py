@@ -9,7 +9,6 @@ table with one row per (group, bucket). Buckets need no sampling, so a recompute
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,20 +125,18 @@ def kth_values(
         .withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
         .withColumnRenamed("c", "_size")
     )
-    wanted = {t: rank(F.col("n")).cast("long") for t, rank in targets.items()}
-    ladder = ladder.select("*", *[k.alias(f"_k_{t}") for t, k in wanted.items()])
-    holds = reduce(
-        lambda x, y: x | y,
-        [F.col(f"_k_{t}").between(F.col("_before_c") + 1, F.col("_before_c") + F.col("_size")) for t in targets],
-    )
+    ranks = F.array(*[rank(F.col("n")).cast("long") for rank in targets.values()])
+    ladder = ladder.withColumn("_ranks", ranks)
+    holds = F.exists("_ranks", lambda k: k.between(F.col("_before_c") + 1, F.col("_before_c") + F.col("_size")))
     upto = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
         counts.join(ladder.filter(holds), [*by, "_bucket"])
         .withColumn("_last", F.col("_before_c") + F.sum("c").over(upto))
     )
+    first = F.col("_last") - F.col("c") + 1
     picked = [
-        F.max(F.when(F.col(f"_k_{t}").between(F.col("_last") - F.col("c") + 1, F.col("_last")), F.col("_v"))).alias(t)
-        for t in targets
+        F.max(F.when(F.get("_ranks", F.lit(i)).between(first, F.col("_last")), F.col("_v"))).alias(t)
+        for i, t in enumerate(targets)
     ]
     totals = sizes.groupBy(*by).agg(F.sum("c").alias("n"))
     found = ranked.groupBy(*by).agg(*picked)
