@@ -204,11 +204,11 @@ def best_global_threshold(t: Tables) -> DataFrame:
 
 @query(
     CELLS_SQL + """, q AS (SELECT qty, list_distinct([""" + ", ".join(f"quantile_cont(score::DOUBLE, {k / 15!r})" for k in range(1, 15)) + """]) AS e FROM c GROUP BY 1),
-b AS (SELECT qty, len(list_filter(e, x -> x <= score)) AS bin, count(*) AS n, avg(score) AS p, avg(label) AS y FROM c JOIN q USING (qty) GROUP BY 1, 2)
-SELECT qty, round(sum(abs(p - y) * n) / sum(n), 6) AS ece, round(max(abs(p - y)), 6) AS mce, count(*) AS bins_used FROM b GROUP BY 1"""
+b AS (SELECT qty, len(list_filter(e, lambda x: x <= score)) AS bin, count(*) AS n, avg(score) AS p, avg(label) AS y FROM c JOIN q USING (qty) GROUP BY 1, 2)
+SELECT qty, round(sum(abs(p - y) * n) / sum(n), 9) AS ece, round(max(abs(p - y)), 9) AS mce, count(*) AS bins_used FROM b GROUP BY 1"""
 )
 def equal_mass_calibration_error(t: Tables) -> DataFrame:
-    return rounded(metrics.ece_equal_mass(cells(t), "label", "score", 15, ["qty"]))
+    return rounded(metrics.ece_equal_mass(cells(t), "label", "score", 15, ["qty"]), 9)
 
 
 @query(
