@@ -365,8 +365,9 @@ def run_comparability(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT unnest(['three_to_five_members', 'distinct_seeds', 'same_family', 'same_r_name']) AS "check", unnest([TRUE, TRUE, TRUE, FALSE]) AS passed"""
+    """WITH m AS (SELECT o_orderpriority AS seed, min(o_orderstatus) AS family, count(*) AS size FROM orders GROUP BY 1)
+SELECT unnest(['three_to_five_members', 'distinct_seeds', 'same_family', 'same_size']) AS "check", unnest([count(*) BETWEEN 3 AND 5, count(DISTINCT seed) = count(*), min(family) = max(family), min(size) = max(size)]) AS passed FROM m"""
 )
 def member_compatibility(t: Tables) -> DataFrame:
-    members = t.region.withColumnRenamed("r_regionkey", "seed").withColumn("family", F.lower(F.lit("A")))
-    return splits.member_compatibility(members, ["family", "r_name"])
+    members = t.orders.groupBy(F.col("o_orderpriority").alias("seed")).agg(F.min("o_orderstatus").alias("family"), F.count(F.lit(1)).alias("size"))
+    return splits.member_compatibility(members, ["family", "size"])
