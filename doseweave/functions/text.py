@@ -165,11 +165,14 @@ def find_mentions(docs: DataFrame, doc: str, text: str, names: DataFrame, min_le
     longest = F.coalesce(lexicon.agg(F.max("_n")).scalar(), F.lit(1))
     own = ["own_id"] if "own_id" in docs.columns else []
     pieces = docs.select(doc, *own, F.split(F.lower(text), WORD_EDGES).alias("_p")).withColumn("_max", longest)
+    # Words and separators alternate, so the first piece tells where all the words are.
+    first = F.when(F.get("_p", F.lit(0)).rlike(r"(?U)^\w"), 0).otherwise(1)
+    places = F.when(F.size("_p") > first, F.sequence(first, F.size("_p") - 1, F.lit(2)))
     ahead = F.transform(
-        F.col("_p"),
-        lambda w, i: F.struct(w.alias("word"), F.slice(F.col("_p"), i + 1, F.col("_max")).alias("next"), i.alias("at")),
+        places,
+        lambda i: F.struct(F.get("_p", i).alias("word"), F.slice("_p", i + 1, F.col("_max")).alias("next"), i.alias("at")),
     )
-    starts = pieces.select(doc, *own, F.explode(F.filter(ahead, lambda s: s["word"].rlike(r"(?U)^\w"))).alias("s"))
+    starts = pieces.select(doc, *own, F.explode(ahead).alias("s"))
     hits = (
         starts.select(doc, *own, F.col("s.word").alias("_word"), F.col("s.next").alias("_next"), F.col("s.at").alias("_at"))
         .join(lexicon, "_word")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from doseweave.functions.numeric import clip, logit, sigmoid
@@ -60,12 +60,12 @@ def fit_logistic(
 
     for _ in range(MAX_STEPS):
         tried = state.withColumns({"ta": F.col("a") - F.col("t") * F.col("sa"), "tb": limited(F.col("b") - F.col("t") * F.col("sb"))})
-        joined = data.join(tried.filter(~F.col("done")).select(*keys, "ta", "tb"), keys)
         x, n, pos = F.col("x"), F.col("n"), F.col("pos")
         q = sigmoid(F.col("ta") + F.col("tb") * x)
         w = F.greatest(q * (1 - q), F.lit(1e-9)) * n
         g = q * n - pos
-        sums = joined.groupBy(*keys).agg(
+        # The state of a group depends on its key alone, so it rides along as grouping columns.
+        sums = data.join(tried, keys).groupBy(*tried.columns).agg(
             F.sum(_loss(F.col("ta"), F.col("tb"), x, n, pos)).alias("loss"), F.sum(g).alias("ga"), F.sum(g * x).alias("gb"),
             F.sum(w).alias("haa"), F.sum(w * x).alias("hab"), F.sum(w * x * x).alias("hbb"),
         )
@@ -75,20 +75,22 @@ def fit_logistic(
         haa, hbb, hab = F.col("haa") + 2 * la + RIDGE, F.col("hbb") + 2 * lam + RIDGE, F.col("hab")
         det = haa * hbb - hab * hab
         accepted = objective <= F.col("best") + 1e-12
-        stepped = tried.join(sums, keys, "left").select(
+        taken = ~F.col("done") & accepted
+        stepped = sums.select(
             *keys, "a0", "b0",
-            F.when(~F.col("done") & accepted, F.col("ta")).otherwise(F.col("a")).alias("a"),
-            F.when(~F.col("done") & accepted, F.col("tb")).otherwise(F.col("b")).alias("b"),
-            F.when(~F.col("done") & accepted, objective).otherwise(F.col("best")).alias("best"),
-            F.when(~F.col("done") & accepted, (hbb * ga - hab * gb) / det).otherwise(F.col("sa")).alias("sa"),
-            F.when(~F.col("done") & accepted, (haa * gb - hab * ga) / det).otherwise(F.col("sb")).alias("sb"),
+            F.when(taken, F.col("ta")).otherwise(F.col("a")).alias("a"),
+            F.when(taken, F.col("tb")).otherwise(F.col("b")).alias("b"),
+            F.when(taken, objective).otherwise(F.col("best")).alias("best"),
+            F.when(taken, (hbb * ga - hab * gb) / det).otherwise(F.col("sa")).alias("sa"),
+            F.when(taken, (haa * gb - hab * ga) / det).otherwise(F.col("sb")).alias("sb"),
             F.when(F.col("done") | accepted, F.lit(1.0)).otherwise(F.col("t") / 2).alias("t"),
             (
                 F.col("done") | (accepted & (F.col("best") - objective < TOLERANCE)) | (~accepted & (F.col("t") < 1e-8))
             ).alias("done"),
         )
-        state = durable(stepped)
-        if state.filter(~F.col("done")).limit(1).count() == 0:
+        seen = Observation()
+        state = durable(stepped.observe(seen, F.count_if(~F.col("done")).alias("open")))
+        if seen.get["open"] == 0:
             break
     out = state.select(*keys, F.col("a").alias("intercept"), F.col("b").alias("slope"))
     return out if by else out.drop("_all")

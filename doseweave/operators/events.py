@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.operators.clean import ContractError, canonical_pair, usable_edges
-from doseweave.plans.ordering import dense_ids
+from doseweave.plans.ordering import dense_ids, positions
 from doseweave.session import durable
 
 
+PAIR_BUCKETS = 65536
+
+
 @dataclass(frozen=True)
 class EventTable:
     """drugs(drug_idx, smiles), events(event_idx, event, n_pairs), pairs(pair_id, drug_a, drug_b), labels(pair_id,
@@ -46,11 +49,13 @@ def event_table(edges: DataFrame, a: str = "source", b: str = "target", event: s
         .join(drugs.select(F.col("smiles").alias("b"), F.col("drug_idx").alias("drug_b")), "b")
         .join(events.select("event", "event_idx"), "event")
         .withColumn("_n", n)
-        .select("drug_a", "drug_b", "event_idx", (F.col("drug_a") * F.col("_n") + F.col("drug_b")).alias("_key"))
+        .select("drug_a", "drug_b", "event_idx", F.floor(F.col("drug_a") * PAIR_BUCKETS / F.col("_n")).alias("_cut"))
     )
-    numbered = durable(dense_ids(coded.select("drug_a", "drug_b", "_key").distinct(), "_key", "pair_id"))
-    pairs = numbered.select("pair_id", "drug_a", "drug_b")
-    labels = coded.join(numbered.select("_key", "pair_id"), "_key").select("pair_id", "event_idx")
+    # A drug is in fewer distinct pairs than there are drugs, so ranges of drugs are buckets of bounded size.
+    distinct = coded.select("drug_a", "drug_b", "_cut").distinct()
+    numbered = positions(distinct, ["drug_a", "drug_b"], F.col("_cut"), name="pair_id")
+    pairs = durable(numbered.select((F.col("pair_id") - 1).alias("pair_id"), "drug_a", "drug_b"))
+    labels = coded.join(pairs, ["drug_a", "drug_b"]).select("pair_id", "event_idx")
     return EventTable(drugs, events, pairs, labels)
 
 

@@ -30,15 +30,14 @@ def bootstrap_weights(df: DataFrame, keys: Sequence[str], replicates: int, seed:
         "_h", priority(seed, F.col("_block"), *[F.col(k) for k in keys])
     )
 
-    def draw(i: Column) -> Column:
-        u = F.conv(F.col("_h").substr(i * 8 + 1, F.lit(8)), 16, 10).cast("long")
-        weight = sum((F.when(u >= edge, 1).otherwise(0) for edge in POISSON_EDGES), F.lit(0))
-        return F.struct((F.col("_block") * PER_HASH + i + 1).alias("replicate"), weight.alias("weight"))
-
-    draws = F.transform(F.sequence(F.lit(0), F.lit(PER_HASH - 1)), draw)
-    return hashed.select(*df.columns, F.explode(draws).alias("_d")).select(*df.columns, "_d.*").filter(
-        (F.col("weight") > 0) & (F.col("replicate") <= replicates)
+    # Fixed-width hexadecimal texts compare as the numbers they spell; most draws stop at the first two edges.
+    u, weight = F.col("_h").substr(F.col("_i") * 8 + 1, F.lit(8)), F.lit(len(POISSON_EDGES))
+    for k in reversed(range(len(POISSON_EDGES))):
+        weight = F.when(u < f"{POISSON_EDGES[k]:08x}", k).otherwise(weight)
+    drawn = hashed.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(PER_HASH - 1)))).select(
+        *df.columns, (F.col("_block") * PER_HASH + F.col("_i") + 1).alias("replicate"), weight.alias("weight")
     )
+    return drawn.filter((F.col("weight") > 0) & (F.col("replicate") <= replicates))
 
 
 def percentile_interval(replicates: DataFrame, value: str, by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

@@ -177,6 +177,7 @@ def cold_start_groups(pairs: DataFrame, holdout: float = 0.15, seed: int = 42, a
 
     A draw is a hash order with the attempt in its seed; whether a family is full is a count, not an enumeration.
     """
+    pairs = durable(pairs.select("drug_a", "drug_b").distinct())
     drugs = durable(pairs.select(F.explode(F.array("drug_a", "drug_b")).alias("drug")).distinct())
     n = drugs.count()
     if n < 6:
@@ -192,7 +193,7 @@ def cold_start_groups(pairs: DataFrame, holdout: float = 0.15, seed: int = 42, a
             drugs, ["drug"], f"{seed}:{attempt}", {"s1_dev": sizes["s1_dev"] / n, "s1_test": sizes["s1_test"] / n},
             "seen", "role",
         )
-        tagged = with_roles(pairs.select("drug_a", "drug_b").distinct(), roles)
+        tagged = with_roles(pairs, roles)
         used = {r["f"]: r["n"] for r in tagged.groupBy(family(F.col("role_a"), F.col("role_b")).alias("f")).agg(
             F.count(F.lit(1)).alias("n")).collect()}
         if all(used.get(f, 0) == 0 or used[f] < possible[f] for f in FAMILIES):
@@ -205,7 +206,7 @@ def cold_start_splits(
 ) -> DataFrame:
     """Seven splits in a ``split`` column; seen pairs go 80/20, then the validation share, within each label."""
     unique = dedupe_pairs(pairs, "drug_a", "drug_b", label)
-    tagged = with_roles(unique, roles).withColumn("_f", family(F.col("role_a"), F.col("role_b")))
+    tagged = durable(with_roles(unique, roles).withColumn("_f", family(F.col("role_a"), F.col("role_b"))))
     strata = [label]
     shares = {"transductive_test": 0.2, "validation": 0.8 * validation}
     seen = by_fraction(

@@ -27,7 +27,7 @@ def unit_interval(hex_text: Column) -> Column:
 
 def lowest(df: DataFrame, prio: str, n: int) -> DataFrame:
     """The n rows with the lowest unique priority, however large n is: a filter below the exact n-th priority."""
-    cut = kth_values(df, prio, {"cut": lambda _: F.lit(n)}, bucket=hash_bucket(F.col("_v")))
+    cut = kth_values(df, prio, {"cut": lambda _: F.lit(n)}, bucket=hash_bucket(F.col("_v")), unique=True)
     edge = cut.select(F.when(F.col("n") <= n, F.lit("g")).otherwise(F.col("cut")))
     return df.filter(F.col(prio) <= F.coalesce(edge.scalar(), F.lit("g"))) if n > 0 else df.limit(0)
 
@@ -48,17 +48,17 @@ def by_fraction(
         return lambda n: sum((F.bround(n * F.lit(f)) for f in fractions[1:]), F.bround(n * F.lit(fractions[0])))
 
     cuts = kth_values(
-        hashed, "_prio", {f"_cut{i}": upto(i) for i in range(len(shares))}, by, bucket=hash_bucket(F.col("_v"))
+        hashed, "_prio", {f"_cut{i}": upto(i) for i in range(len(shares))}, by, bucket=hash_bucket(F.col("_v")), unique=True
     ).drop("n")
     if by:
         hashed = hashed.join(cuts, list(by))
         edges = [F.col(f"_cut{i}") for i in range(len(shares))]
     else:
-        row = cuts.select(F.struct("*")).scalar()
-        edges = [row.getField(f"_cut{i}") for i in range(len(shares))]
+        hashed = hashed.withColumn("_row", cuts.select(F.struct("*")).scalar())
+        edges = [F.col("_row").getField(f"_cut{i}") for i in range(len(shares))]
     role = F.lit(None).cast("string")
     for label, edge in reversed(list(zip(shares, edges, strict=True))):
         role = F.when(F.col("_prio") <= edge, F.lit(label)).otherwise(role)
     return hashed.withColumn(name, F.coalesce(role, F.lit(rest))).drop(
-        "_prio", *[f"_cut{i}" for i in range(len(shares))]
+        "_prio", "_row", *[f"_cut{i}" for i in range(len(shares))]
     )

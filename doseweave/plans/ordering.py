@@ -107,43 +107,45 @@ def running_sums(
 
 def kth_values(
     df: DataFrame, value: str, targets: dict[str, Callable[[Column], Column]], by: Sequence[str] = (),
-    bucket: Column | None = None,
+    bucket: Column | None = None, unique: bool = False,
 ) -> DataFrame:
     """Per group the exact k-th smallest value for each target rank (a function of the group size ``n``).
 
-    Equal values collapse before the shuffle, and only the buckets that hold a wanted rank are ordered. A rank
-    outside 1..n gives null.
+    Equal values collapse before the shuffle; values known to be ``unique`` skip that and are never shuffled at all:
+    only bucket counts are, and then the rows of the few buckets that hold a wanted rank. A rank outside 1..n gives
+    null.
     """
-    counts = (
-        df.select(*by, F.col(value).alias("_v"))
-        .withColumn("_bucket", score_bucket(F.col("_v")) if bucket is None else bucket)
-        .groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("c"))
-    )
-    sizes = counts.groupBy(*by, "_bucket").agg(F.sum("c").alias("c"))
-    ladder = (
-        sizes.join(_before(sizes, ["c"], by), [*by, "_bucket"])
-        .withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-        .withColumnRenamed("c", "_size")
+    tagged = df.select(*by, F.col(value).alias("_v")).withColumn(
+        "_bucket", score_bucket(F.col("_v")) if bucket is None else bucket
     )
+    if unique:
+        counts = tagged.withColumn("c", F.lit(1).cast("long"))
+    else:
+        counts = tagged.groupBy(*by, "_bucket", "_v").agg(F.count(F.lit(1)).alias("c"))
+    sizes = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    group = Window.partitionBy(*by)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = F.array(*[rank(F.col("n")).cast("long") for rank in targets.values()])
-    ladder = ladder.withColumn("_ranks", ranks)
-    holds = F.exists("_ranks", lambda k: k.between(F.col("_before_c") + 1, F.col("_before_c") + F.col("_size")))
+    ladder = sizes.select(
+        "*", F.sum("_size").over(group).alias("n"), (F.sum("_size").over(earlier) - F.col("_size")).alias("_before")
+    ).withColumn("_ranks", ranks)
+    holds = F.exists("_ranks", lambda k: k.between(F.col("_before") + 1, F.col("_before") + F.col("_size")))
     upto = Window.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (
         counts.join(ladder.filter(holds), [*by, "_bucket"])
-        .withColumn("_last", F.col("_before_c") + F.sum("c").over(upto))
+        .withColumn("_last", F.col("_before") + F.sum("c").over(upto))
     )
     first = F.col("_last") - F.col("c") + 1
     picked = [
         F.max(F.when(F.get("_ranks", F.lit(i)).between(first, F.col("_last")), F.col("_v"))).alias(t)
         for i, t in enumerate(targets)
     ]
-    totals = sizes.groupBy(*by).agg(F.sum("c").alias("n"))
+    totals = sizes.groupBy(*by).agg(F.sum("_size").alias("n"))
     found = ranked.groupBy(*by).agg(*picked)
     if by:
         return totals.join(found, list(by), "left")
     row = found.agg(F.struct(*[F.max(t).alias(t) for t in targets])).scalar()
-    return totals.select("n", *[row.getField(t).alias(t) for t in targets])
+    return totals.withColumn("_row", row).select("n", *[F.col("_row").getField(t).alias(t) for t in targets])
 
 
 def quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
