@@ -63,7 +63,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def vector_tanimoto(a: Column, b: Column) -> Column:
     both = dot(a, b)
-    return clip(both / (total(a) + total(b) - both + F.lit(1e-6)), 0.0, 1.0)
+    size_a, size_b = (total(F.transform(v, lambda x: F.abs(x))) for v in (a, b))
+    return clip(both / (size_a + size_b - both + F.lit(1e-6)), 0.0, 1.0)
 
 
 def cyp_overlap(a: Column, b: Column, free_a: Column, free_b: Column) -> dict[str, Column]:
