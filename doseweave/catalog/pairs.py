@@ -547,3 +547,23 @@ SELECT drug, sha256(string_agg(h, chr(10) ORDER BY h)) AS set_sha256, sum(n)::BI
 def identity_set_hashes(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_suppkey").alias("drug"), F.col("l_orderkey").alias("key"))
     return numeric.set_hash(rows, "key", ["drug"])
+
+
+@query("SELECT l_shipdate::DATE AS ship_day, count(*) AS n FROM lineitem GROUP BY 1", name="distinct_value_mapping")
+def distinct_value_mapping(t: Tables) -> DataFrame:
+    """Each distinct ship date is formatted and parsed once, then joined back to its lines."""
+    mapped = clean.map_distinct(t.lineitem.select("l_shipdate"), "l_shipdate", "ship_day", lambda c: F.to_date(F.date_format(c, "yyyy-MM-dd")))
+    return mapped.groupBy("ship_day").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT doc_id, source, toxic AS label, round(n_chars / 40000.0, 6) AS raw_score, round(least(1, n_chars / 20000.0), 6) AS calibrated_score, 0.2::DOUBLE AS threshold,
+  (least(1, n_chars / 20000.0) >= 0.2)::INTEGER AS predicted_label, round(abs(least(1, n_chars / 20000.0) - 0.2), 6) AS margin FROM documents JOIN labels USING (doc_id)"""
+)
+def prediction_rows(t: Tables) -> DataFrame:
+    """Provenance, label, scores and margin of each labelled document."""
+    rows = t.documents.join(t.labels, "doc_id").select(
+        "doc_id", "source", F.col("toxic").alias("label"), (F.col("n_chars") / 40000.0).alias("raw_score"),
+        F.least(F.lit(1.0), F.col("n_chars") / 20000.0).alias("calibrated_score"))
+    out = clean.prediction_table(rows, 0.2, ["doc_id", "source"])
+    return out.withColumns({c: F.round(c, 6) for c in ("raw_score", "calibrated_score", "margin")})
