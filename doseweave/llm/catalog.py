@@ -47,11 +47,19 @@ WITH sized AS (
   SELECT s.source, s.prio, s.size, t.target, r.round,
          r.round * t.source_size + sum(s.size) OVER (PARTITION BY s.source, r.round ORDER BY s.prio) AS words
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) r(round)
+), early AS (
+  SELECT source, prio, size, round FROM queue WHERE target > 0 AND words::DOUBLE / target <= 1
+), late AS (
+  SELECT *, (words - size::DOUBLE / 2) / target AS half FROM queue
+  WHERE target > 0 AND words::DOUBLE / target > 1 AND (words - size::DOUBLE / 2) / target <= 1
 ), ranked AS (
-  SELECT *, sum(size) OVER (ORDER BY words::DOUBLE / target, source NULLS LAST, round, prio) AS total FROM queue WHERE target > 0
+  SELECT *, sum(size) OVER (ORDER BY half, source NULLS LAST, round, prio) AS total FROM late
 ), picked AS (
-  SELECT source, round, max(prio) AS cut FROM ranked
-  WHERE total <= (SELECT floor(sum(size) * 1.5) FROM sized) GROUP BY source, round
+  SELECT source, round, max(prio) AS cut FROM (
+    SELECT source, round, prio FROM early UNION ALL
+    SELECT source, round, prio FROM ranked
+    WHERE total <= (SELECT floor(sum(size) * 1.5) FROM sized) - (SELECT sum(size) FROM early)
+  ) GROUP BY source, round
 )
 SELECT s.doc_id, s.size, t.source_size, t.target,
        (s.size * (SELECT count(*) FROM picked p WHERE p.source IS NOT DISTINCT FROM s.source AND s.prio <= p.cut))::BIGINT AS taken

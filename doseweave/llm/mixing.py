@@ -3,7 +3,9 @@
 Every document waits in its source's queue in hash order. Its virtual finish time is the source's cumulative words
 divided by the source's target, counted on through a second round of the same queue where the target is above the
 source's size. The global order of finish times is cut at the total budget. Up to finish time 1 no source is above
-its target, so that part always fits; only the few documents behind it compete for what is left.
+its target, so that part always fits; of the documents that finish later only the one that each source is in the
+middle of can follow, if more than half of it comes before time 1, in the order of these half-way times and up to the
+budget. Documents stay whole, and a source ends within half a document of its target as far as the budget allows.
 
 A queue is never one task: cumulative words are the totals of earlier (source, hash bucket) pairs, a small table,
 plus a window inside the bucket. Since a queue is taken from its front, the result is one cut per source and round,
@@ -90,8 +92,9 @@ def source_cuts(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: i
         items.filter("finish <= 1").groupBy("source", "round").agg(F.max("_prio").alias("cut"), F.sum("size").alias("words"))
     )
     left = budget - early.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w")).scalar()
-    late = items.filter("finish > 1").filter(F.col("_words") - F.col("size") - F.col("target") <= left)
-    line = Window.orderBy("finish", F.col("source").asc_nulls_last(), "round", "_prio")
+    half = (F.col("_words") - F.col("size") / 2) / F.col("target")
+    late = items.filter("finish > 1").withColumn("half", half).filter("half <= 1")
+    line = Window.orderBy("half", F.col("source").asc_nulls_last(), "round", "_prio")
     fits = late.withColumn("_sum", F.sum("size").over(line)).filter(F.col("_sum") <= left)
     taken = early.select("source", "round", "cut").union(fits.select("source", "round", F.col("_prio").alias("cut")))
     cuts = taken.groupBy("source").agg(
