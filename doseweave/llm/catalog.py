@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseweave.llm import decontamination, mixing
+from doseweave.llm import decontamination, mixing, token_files
 from doseweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,17 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
         "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "hit_items"), 256).alias("items_sha256"), decontamination.is_contaminated().alias("contaminated"),
     )
+
+
+def token_file_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes ``docs`` as token files and reads them back."""
+    import public_tokenizers
+
+    folder = token_files.scratch_folder(spark)
+    token_files.write_token_files(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, folder)
+
+
+@query()
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file_rows(spark, table(spark, folder, "documents"))
