@@ -10,8 +10,11 @@ vocabulary. Both are tables below the given folder:
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -27,33 +30,71 @@ from doseweave.llm.entropy_coding import FrequencyTable, decode, encode
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 17
 RAW = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
+class Memo(dict):
+    """Results of a function by key; of two generations of up to ``limit`` keys the older one is forgotten."""
+
+    def __init__(self, compute, limit: int = MEMO_WORDS):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+#: Letters whose lower case and composition are one to one, then marks that form one token group; all else is encoded whole.
+PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|()=+-]*)")
+
+
 class WordTokenizer:
     """Ids of a text as little-endian bytes.
 
-    The vocabulary drops white space and no token crosses it, so a text's ids are those of its parts between ASCII
-    white space; a part is encoded once and remembered.
+    The vocabulary drops white space and no token crosses it or the border of letters and marks, so a text's ids are
+    those of its words, a plain word's ids are those of its letters and of its marks, and each is encoded once and
+    remembered.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
+        self.table = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+        self.runs, self.words = Memo(self.run), Memo(self.word)
+
+    def run(self, letters: str) -> bytes:
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters.translate(self.table))], "<u4").tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = PLAIN.fullmatch(text)
+        if not plain:
+            return self.whole(text)
+        letters, marks = plain.groups()
+        return self.runs[letters.lower()] + (self.words[marks.encode()] if marks else b"")
 
     def __call__(self, text: bytes) -> bytes:
-        parts = text.split()
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            if len(self.memo) > MEMO_WORDS:
-                self.memo.clear()
-            new = list(set(parts).difference(self.memo))
-            coded = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-            self.memo.update((p, np.array(c.ids, "<u4").tobytes()) for p, c in zip(new, coded, strict=True))
-            return b"".join(map(self.memo.__getitem__, parts))
+        return b"".join(map(self.words.__getitem__, text.split()))
+
+
+@cache
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One per Python process, so tasks share what is remembered."""
+    return WordTokenizer(path)
 
 
 def tokenized_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -62,7 +103,7 @@ def tokenized_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bloc
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, part = WordTokenizer(tokenizer), TaskContext.get().partitionId()
+        encode_text, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         end, begin = np.array([end_id], "<u4").tobytes(), 0
         names, lengths, data, size = [], [], [], 0
 
