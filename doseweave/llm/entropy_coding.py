@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 
-SCALE = 20
+SCALE = 18
 LANES = 256
 EVERY = 128
 LOW = np.uint64(1 << 31)

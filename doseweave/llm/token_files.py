@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -30,38 +31,22 @@ from doseweave.llm.entropy_coding import FrequencyTable, decode, encode
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
-MEMO_WORDS = 1 << 17
+MEMO_WORDS = 1 << 18
 RAW = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
-class Memo(dict):
-    """Results of a function by key; of two generations of up to ``limit`` keys the older one is forgotten."""
-
-    def __init__(self, compute, limit: int = MEMO_WORDS):
-        super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.compute(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
-#: Letters whose lower case and composition are one to one, then marks that form one token group; all else is encoded whole.
-PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|()=+-]*)")
+#: A word of letters whose lower case and composition are one to one, then marks that form one token group; or any other.
+PLAIN = re.compile(
+    "^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|()=+-]*)|([^\n]*))$", re.MULTILINE
+)
 
 
 class WordTokenizer:
-    """Ids of a text as little-endian bytes.
+    """Ids of texts as little-endian bytes.
 
     The vocabulary drops white space and no token crosses it or the border of letters and marks, so a text's ids are
     those of its words, a plain word's ids are those of its letters and of its marks, and each is encoded once and
-    remembered.
+    remembered; memories above ``MEMO_WORDS`` start anew.
     """
 
     def __init__(self, path: str):
@@ -71,24 +56,37 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.table = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.runs, self.words = Memo(self.run), Memo(self.word)
-
-    def run(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters.translate(self.table))], "<u4").tobytes()
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = PLAIN.fullmatch(text)
-        if not plain:
-            return self.whole(text)
-        letters, marks = plain.groups()
-        return self.runs[letters.lower()] + (self.words[marks.encode()] if marks else b"")
-
-    def __call__(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        if len(self.parts) > MEMO_WORDS:
+            self.parts.clear()
+        new = list(words.difference(self.words))
+        if not new:
+            return
+        split = PLAIN.findall(b"\n".join(new).decode("utf-8", "replace"))
+        parts, tokenize, table = self.parts, self.tokenizer.model.tokenize, self.table
+        for letters in {plain.lower() for plain, _, _ in split}.difference(parts):
+            parts[letters] = struct_ids([t.id for t in tokenize(letters.translate(table))])
+        for other in {x for _, marks, text in split for x in (marks, text)}.difference(parts):
+            parts[other] = self.whole(other)
+        parts[""] = b""
+        self.words.update((w, parts[a.lower()] + parts[b] + parts[c]) for w, (a, b, c) in zip(new, split, strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [text.split() for text in texts]
+        self.learn(set().union(*split))
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+
+def struct_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache
@@ -103,7 +101,7 @@ def tokenized_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bloc
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
+        encode_texts, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         end, begin = np.array([end_id], "<u4").tobytes(), 0
         names, lengths, data, size = [], [], [], 0
 
@@ -113,13 +111,13 @@ def tokenized_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, bloc
                 [pa.array([v], t) for v, t in zip((part, begin, names, lengths, ids.astype("<u2" if small else "<u4").tobytes()), RAW.types, strict=True)], schema=RAW
             )
 
-        small = encode_text.tokenizer.get_vocab_size() <= 1 << 16
+        small = encode_texts.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
             sizes = pc.binary_length(batch.column(1)).to_pylist()
             for first, last in pieces(sizes):
-                texts = batch.column(1).slice(first, last - first).to_pylist()
-                for name, text in zip(batch.column(0).slice(first, last - first).to_pylist(), texts, strict=True):
-                    coded = encode_text(text) + end
+                texts = encode_texts(batch.column(1).slice(first, last - first).to_pylist())
+                for name, coded in zip(batch.column(0).slice(first, last - first).to_pylist(), texts, strict=True):
+                    coded += end
                     names.append(name)
                     lengths.append(len(coded) // 4)
                     data.append(coded)
