@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseweave.llm import decontamination, language, licences, minhash, mixing, quality, token_files
+from doseweave.llm import decontamination, language, licences, minhash, mixing, quality, secrets, token_files
 from doseweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,59 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scanned(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+SECRET_SQL = r"""
+WITH kinds(number, kind, pattern) AS (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'run', '[A-Za-z0-9+/_=-]{20,}')
+), hits AS (
+  SELECT doc_id, text, number, kind, unnest(m) AS hit, generate_subscripts(m, 1) AS k, g
+  FROM (SELECT doc_id, text, number, kind,
+               CASE number WHEN 0 THEN regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+                           WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_extract_all(text, '[0-9a-f]+')
+                           ELSE regexp_extract_all(text, '[A-Za-z0-9+/_=-]{20,}') END AS m,
+               CASE number WHEN 0 THEN string_split_regex(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+')
+                           WHEN 1 THEN string_split_regex(text, 'AKIA[A-Z0-9]+') WHEN 2 THEN string_split_regex(text, '[0-9a-f]+')
+                           ELSE string_split_regex(text, '[A-Za-z0-9+/_=-]{20,}') END AS g
+        FROM documents, kinds)
+), placed AS (
+  SELECT doc_id, number, kind, hit,
+         sum(length(g[k]) + length(hit)) OVER (PARTITION BY doc_id, number ORDER BY k) - length(hit) AS s
+  FROM hits
+), base AS (
+  SELECT doc_id, number, kind, s, s + length(hit) AS e FROM placed
+  WHERE (number = 0 AND length(regexp_extract(hit, '["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6)
+     OR (number = 1 AND length(hit) >= 20) OR (number = 2 AND length(hit) >= 24)
+), runs AS (
+  SELECT doc_id, hit, s, CASE
+    WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-fA-F]') AND regexp_full_match(hit, '[0-9a-fA-F]+') THEN 3
+    WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND regexp_full_match(hit, '[A-Za-z0-9]+') THEN 4
+    WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') THEN 5 END AS number
+  FROM placed
+  WHERE number = 3 AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9-]+$|/.*/|(?i:example|sample|placeholder|changeme|dummy|xxxx)')
+), windows AS (
+  SELECT doc_id, s, number, i, list_entropy(string_split(substr(hit, i + 1, 20), '')) AS h
+  FROM (SELECT *, unnest(range(0, length(hit) - 19)) AS i FROM runs WHERE number IS NOT NULL)
+), added AS (
+  SELECT doc_id, number, CASE number WHEN 3 THEN 'entropy_hex' WHEN 4 THEN 'entropy_alnum' ELSE 'entropy_base64' END AS kind,
+         s + min(i) AS s, s + max(i) + 20 AS e
+  FROM windows WHERE h >= CASE number WHEN 3 THEN 3.05 WHEN 4 THEN 3.65 ELSE 3.85 END GROUP BY doc_id, number, windows.s
+), every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT doc_id, number, kind, s, e, false FROM added
+), joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, number) FILTER (is_base) AS base_text,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, number) AS all_text
+  FROM every GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base_text, '')) AS base_sha256, coalesce(all_text, '') AS spans
+FROM documents d LEFT JOIN joined USING (doc_id)
+"""
+
+
+@query(SECRET_SQL)
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.found_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [secrets.span_count(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.span_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
