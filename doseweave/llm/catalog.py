@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseweave.llm import decontamination, language, licences, minhash, mixing, quality, secrets, token_files
+from doseweave.llm import decontamination, language, licences, minhash, mixing, quality, secrets, suffix_dedup, token_files
 from doseweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,9 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.found_secrets(table(spark, folder, "documents").select("doc_id", "text"))
     counts = [secrets.span_count(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(secrets.span_text(F.col("base_spans")), 256).alias("base_sha256"), secrets.span_text(F.col("spans")).alias("spans"))
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    clean = suffix_dedup.deduplicated_bytes(table(spark, folder, "documents"))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -43,12 +43,12 @@ def carried(df: DataFrame, added: Sequence[str]) -> list[str]:
 
 def map_texts(
     df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict[str, list]]], added: str, text: str = "text",
-    keep: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None, piece: int = PIECE_BYTES,
 ) -> DataFrame:
     """Adds columns computed from whole texts, batch by batch; the other columns pass through untouched.
 
     ``work()`` is called once per task and gives a function from the UTF-8 texts (null: empty) of up to about
-    ``PIECE_BYTES`` to one list per added column. ``keep`` names the columns to carry, else all without a clash.
+    ``piece`` bytes to one list per added column. ``keep`` names the columns to carry, else all without a clash.
     """
     extra = StructType.fromDDL(added)
     kept = carried(df, extra.names) if keep is None else list(keep)
@@ -61,7 +61,7 @@ def map_texts(
         for batch in batches:
             column = batch.column(len(kept))
             lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
-            for start, end in pieces(lengths):
+            for start, end in pieces(lengths, piece):
                 made = step([x or b"" for x in column.slice(start, end - start).to_pylist()])
                 passed = [batch.column(i).slice(start, end - start) for i in range(len(kept))]
                 arrays = [pa.array(made[n], type=types.field(n).type) for n in names]
