@@ -6,9 +6,22 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doseweave.llm import catalog, decontamination, mixing
+from doseweave.llm import catalog, decontamination, language, minhash, mixing
 from doseweave.llm.common import checkpoint_dir, table
 
+#: Words per shingle of the near-duplicate stage.
+PIPELINE_SHINGLE = 5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised."""
+    return language.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return minhash.deduplicated(docs, PIPELINE_SHINGLE)
+
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than one word in twenty stands in a benchmark window."""
@@ -26,6 +39,8 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("language ID", identify_language),
+    ("near duplicates", drop_near_duplicates),
     ("benchmark decontamination", decontaminate),
     ("source mix", mix_sources),
     ("token files", token_output),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseweave.llm import decontamination, language, licences, minhash, mixing, quality, secrets, suffix_dedup, token_files
+from doseweave.llm import decontamination, html_extraction, language, licences, minhash, mixing, quality, secrets, suffix_dedup, token_files
 from doseweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -224,3 +224,8 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     clean = suffix_dedup.deduplicated_bytes(table(spark, folder, "documents"))
     return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extracted(table(spark, folder, "pages"), keep=["page_id", "url"])
