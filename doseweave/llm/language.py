@@ -97,8 +97,11 @@ def fit(
         "text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("doc_id")
     )
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(""))), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sizes = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chosen = keyed.join(sizes, "lang").filter(place * F.col("n") <= rows)
+    sizes = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return LanguageModel([], np.zeros(BINS, np.float32), np.zeros((0, BINS), np.float32), np.zeros(0, int), 0.0)
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair]), F.col("lang"))
+    chosen = keyed.filter(place * size <= rows)
 
     def work():
         return lambda texts: {"counts": [row.tobytes() for row in trigram_counts([t.decode("utf-8", "replace") for t in texts])]}
