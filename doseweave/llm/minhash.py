@@ -7,8 +7,9 @@ some table unless no A key or no B key agrees: at the threshold of 0.8 it is mis
 
 * Documents with equal shingle sets are one class from the start, so exact copies never meet in a table.
 * First every member of a table key is paired with the key's smallest class only. Confirmed links are joined to
-  components. Then only members of one key that are still in different components are compared, by their signatures and
-  inside tasks, and pairs whose signatures agree enough are confirmed too.
+  components. Then members of one key that are still in different components are compared by their signatures inside
+  tasks; components that look alike form a cluster, and in a cluster all sets outside the largest component meet all
+  others in blocks, where only links that join components leave the task. No group is ever written out as pairs.
 * Components come from repeated minimum labels over durable link tables; nothing is collected.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +32,9 @@ HASHES = 4 * SIDE
 AGREEING = 23
 #: Members of one key that a task compares with each other at a time.
 BLOCK = 512
+#: Documents of one block whose full sets a task holds, and shingles of one product of membership matrices.
+SETS = 256
+COLUMNS = 1 << 13
 SEED = 20_000_003
 MEMO_WORDS = 1 << 18
 _EMPTY = np.zeros(0, np.uint64)
@@ -167,30 +171,109 @@ def components(links: DataFrame) -> DataFrame:
     return ids.join(lows, ids.id == lows.a, "left").select("id", F.coalesce("b", "id").alias("label"))
 
 
-def _close_members(keyed: DataFrame) -> DataFrame:
-    """Pairs of members of one key in different components whose signatures agree; blocks of members, never a whole key.
+def _forest(left: np.ndarray, right: np.ndarray) -> list[int]:
+    """Positions of the pairs that join something new, one after the other."""
+    root: dict[int, int] = {}
 
-    ``keyed``: key, block_a, block_b, side, id, label, sig.
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return kept
+
+
+def _blocked(members: DataFrame, by: str, block: Column, blocks: Column, skip: Column | None = None) -> DataFrame:
+    """Copies each row to all pairs of its block with the blocks of its group: ``block_a`` <= ``block_b``, ``side``."""
+    spread = members.withColumns({"_own": block.cast("int"), "_other": F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1))})
+    spread = spread.withColumns({
+        "block_a": F.least("_own", "_other"), "block_b": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int"),
+    })
+    return (spread if skip is None else spread.filter(~skip)).drop("_own", "_other")
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = table.column("side").to_numpy()
+    own = table.column("block_a")[0].as_py() == table.column("block_b")[0].as_py()
+    left = np.flatnonzero(side == 0)
+    return left, left if own else np.flatnonzero(side == 1)
+
+
+def _like_components(keyed: DataFrame) -> DataFrame:
+    """Components ``a``, ``b`` with members of like signatures under one key, as a spanning forest per pair of blocks.
+
+    ``keyed``: key, block_a, block_b, side, label, sig.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, labels = table.column("id").to_numpy(), table.column("label").to_numpy()
-        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), HASHES)
-        sides = table.column("side").to_numpy()
-        own = table.column("block_a")[0].as_py() == table.column("block_b")[0].as_py()
-        left = np.flatnonzero(sides == 0)
-        right = left if own else np.flatnonzero(sides == 1)
-        out_a, out_b = [], []
+        labels = table.column("label").to_numpy()
+        sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(labels), HASHES)
+        left, right = _sides(table)
+        found = []
         for i in left:
-            near = (sigs[right] == sigs[i]).sum(axis=1) >= AGREEING
-            near &= (labels[right] != labels[i]) & ((ids[right] > ids[i]) if own else True)
-            hit = ids[right[near]]
-            out_a.append(np.full(len(hit), ids[i]))
-            out_b.append(hit)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            near = ((sigs[right] == sigs[i]).sum(axis=1) >= AGREEING) & (labels[right] != labels[i])
+            other = np.unique(labels[right[near]])
+            found.append(np.column_stack([np.full(len(other), labels[i]), other]))
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        pairs = pairs[_forest(pairs[:, 0], pairs[:, 1])]
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    return keyed.groupBy("key", "block_a", "block_b").applyInArrow(run, "a long, b long")
+    return keyed.groupBy("key", "block_a", "block_b").applyInArrow(run, "a long, b long").distinct()
+
+
+def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between components, from the full sets of two blocks at a time, as a spanning forest.
+
+    ``placed``: cluster, block_a, block_b, side, label, shingles. Sizes of all intersections come from products of
+    membership matrices over the shingles that occur more than once.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        labels = table.column("label").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        sizes = np.array([len(x) for x in sets])
+        left, right = _sides(table)
+        _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        shared = count[column] > 1
+        number = np.cumsum(count > 1) - 1
+        owner, column = owner[shared], number[column[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for first in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+            lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+            member = np.zeros((len(sets), COLUMNS), np.float32)
+            member[owner[lo:hi], column[lo:hi] - first] = 1
+            common += member[left] @ member[right].T
+        common = common.astype(np.int64)
+        good = (100 * common >= percent * (sizes[left][:, None] + sizes[right][None, :] - common)) & (labels[left][:, None] != labels[right][None, :])
+        i, j = np.nonzero(good)
+        a, b = labels[left[i]], labels[right[j]]
+        kept = _forest(a, b)
+        return pa.table({"a": pa.array(a[kept], pa.int64()), "b": pa.array(b[kept], pa.int64())})
+
+    return placed.groupBy("cluster", "block_a", "block_b").applyInArrow(run, "a long, b long")
+
+
+def _open_links(docs: DataFrame, tagged: DataFrame, like: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between components of one cluster, all members with all others except inside its largest component."""
+    cluster = components(like).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+    members = durable(tagged.select("id", "label").distinct().join(cluster, "label"))
+    sizes = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("x"), F.sum("n").alias("all"))
+    main = main.select("cluster", "x.main", F.ceil(F.col("x.n") / SETS).alias("main_blocks"), F.ceil((F.col("all") - F.col("x.n")) / SETS).alias("other_blocks"))
+    placed = members.join(main, "cluster").withColumn("inner", F.col("label") == F.col("main"))
+    own = F.when(F.col("inner"), F.pmod(F.xxhash64("id"), "main_blocks")).otherwise(F.col("main_blocks") + F.pmod(F.xxhash64("id"), "other_blocks"))
+    pairs = _blocked(placed, "cluster", own, F.col("main_blocks") + F.col("other_blocks"), F.col("_other").cast("long") < F.when(F.col("inner"), F.col("main_blocks")).otherwise(F.lit(0)))
+    sets = durable(_sets(docs, members.select("id").distinct(), shingle).dropDuplicates(["id", "shingles"]))
+    return _links_in_blocks(pairs.join(sets, "id").select("cluster", "block_a", "block_b", "side", "label", "shingles"), percent)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -224,19 +307,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     member = stars.select("key", "id").union(stars.select("key", F.col("c").alias("id")).distinct())
     tagged = member.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi AND m > 2")
-    open_rows = tagged.join(mixed.select("key", "m"), "key").join(classes.select("id", "sig"), "id")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = (
-        open_rows.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
-        .select("key", F.least("own", "other").alias("block_a"), F.greatest("own", "other").alias("block_b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "label", "sig")
-    )
-    more = durable(_close_members(spread).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        known = sets.select("id").distinct()
-        missing = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(known, "id", "left_anti")
-        all_sets = sets.unionByName(durable(_sets(docs, missing, shingle).dropDuplicates(["id", "shingles"])))
-        links = links.union(_confirmed(more, all_sets, percent))
+    open_rows = tagged.join(mixed.select("key", "m"), "key").join(classes.select("id", "sig"), "id").select("key", "m", "id", "label", "sig")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    like = durable(_like_components(_blocked(open_rows, "key", F.pmod(F.xxhash64("id"), blocks), blocks).drop("id", "m")))
+    if not like.isEmpty():
+        links = links.union(_open_links(docs, tagged, like, shingle, percent))
     final = components(links.union(same_id))
     label = classes.join(final, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))
     out = rows.withColumn("set_hash", F.when(F.col("doc_id").isNotNull(), F.col("set_hash"))).join(label, "set_hash", "left")
