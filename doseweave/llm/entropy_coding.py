@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 
 SCALE = 18
-LANES = 256
+LANES = 1024
 EVERY = 128
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)

@@ -30,7 +30,7 @@ from doseweave.llm.common import checkpoint_dir, pieces
 from doseweave.llm.entropy_coding import FrequencyTable, decode, encode
 
 END_ID = 1
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 MEMO_WORDS = 3 << 17
 RAW = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
