@@ -31,7 +31,7 @@ from doseweave.llm.suffix_sorting import big_endian_words, equal_classes
 LENGTH = 200
 GRAM = 16
 #: Segments of one anchor that are sorted in one group.
-GROUP = 256
+GROUP = 2048
 #: Bytes of texts or segments worked on at a time.
 PIECE = 1 << 20
 
