@@ -262,7 +262,7 @@ def _links_in_blocks(placed: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("cluster", "block_a", "block_b").applyInArrow(run, "a long, b long")
 
 
-def _open_links(docs: DataFrame, tagged: DataFrame, like: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _open_links(sets: DataFrame, tagged: DataFrame, like: DataFrame, percent: int) -> DataFrame:
     """Links between components of one cluster, all members with all others except inside its largest component."""
     cluster = components(like).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
     members = durable(tagged.select("id", "label").distinct().join(cluster, "label"))
@@ -272,7 +272,6 @@ def _open_links(docs: DataFrame, tagged: DataFrame, like: DataFrame, shingle: in
     placed = members.join(main, "cluster").withColumn("inner", F.col("label") == F.col("main"))
     own = F.when(F.col("inner"), F.pmod(F.xxhash64("id"), "main_blocks")).otherwise(F.col("main_blocks") + F.pmod(F.xxhash64("id"), "other_blocks"))
     pairs = _blocked(placed, "cluster", own, F.col("main_blocks") + F.col("other_blocks"), F.col("_other").cast("long") < F.when(F.col("inner"), F.col("main_blocks")).otherwise(F.lit(0)))
-    sets = durable(_sets(docs, members.select("id").distinct(), shingle).dropDuplicates(["id", "shingles"]))
     return _links_in_blocks(pairs.join(sets, "id").select("cluster", "block_a", "block_b", "side", "label", "shingles"), percent)
 
 
@@ -300,7 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     of_several = named.join(several.select("doc_id"), "doc_id", "left_semi").join(classes.select("set_hash", "id"), "set_hash")
     same_id = of_several.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("all"))
     same_id = same_id.select("a", F.explode("all").alias("b")).filter("a <> b")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = stars.select("id").union(stars.select(F.col("c").alias("id"))).distinct()
     sets = durable(_sets(docs, wanted, shingle).dropDuplicates(["id", "shingles"]))
     links = durable(_confirmed(pairs, sets, percent))
     label = durable(components(links))
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     blocks = F.ceil(F.col("m") / BLOCK)
     like = durable(_like_components(_blocked(open_rows, "key", F.pmod(F.xxhash64("id"), blocks), blocks).drop("id", "m")))
     if not like.isEmpty():
-        links = links.union(_open_links(docs, tagged, like, shingle, percent))
+        links = links.union(_open_links(sets, tagged, like, percent))
     final = components(links.union(same_id))
     label = classes.join(final, "id", "left").select("set_hash", F.coalesce("label", "id").alias("label"))
     out = rows.withColumn("set_hash", F.when(F.col("doc_id").isNotNull(), F.col("set_hash"))).join(label, "set_hash", "left")
