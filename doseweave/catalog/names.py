@@ -618,15 +618,16 @@ def cleaned_sequences(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT p_partkey, s AS symbol FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
-  JOIN (VALUES ('ring', 'RNG1'), ('hot', 'HTR2'), ('plate', 'PLT3')) AS a(k, s) ON w = k"""
+    """SELECT DISTINCT p_partkey, s AS symbol FROM part
+  JOIN (VALUES ('ring', 'RNG1'), ('HOT', 'HTR2'), ('late', 'PLT3'), ('t p', 'TWO4'), ('-', 'HYP5')) AS a(k, s) ON contains(lower(p_name || '-' || p_size), lower(k))"""
 )
 def target_symbols(t: Tables) -> DataFrame:
     aliases = t.region.select(
-        F.get(F.array(*map(F.lit, ["ring", "hot", "plate"])), F.col("r_regionkey")).alias("pattern"),
-        F.get(F.array(*map(F.lit, ["RNG1", "HTR2", "PLT3"])), F.col("r_regionkey")).alias("symbol"),
+        F.get(F.array(*map(F.lit, ["ring", "HOT", "late", "t p", "-"])), F.col("r_regionkey")).alias("pattern"),
+        F.get(F.array(*map(F.lit, ["RNG1", "HTR2", "PLT3", "TWO4", "HYP5"])), F.col("r_regionkey")).alias("symbol"),
     ).dropna()
-    return text.target_aliases(t.part.select("p_partkey", "p_name"), "p_name", aliases).select("p_partkey", "symbol")
+    named = t.part.select("p_partkey", F.concat_ws("-", "p_name", F.col("p_size").cast("string")).alias("name"))
+    return text.target_aliases(named, "name", aliases).select("p_partkey", "symbol")
 
 
 @query("SELECT p_partkey, (contains(x, '=') OR contains(x, '#')) AS is_structure FROM (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END AS x FROM part)")

@@ -138,13 +138,22 @@ def clean_sequence(c: Column) -> Column:
 
 
 def target_aliases(df: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """(row columns, symbol) for each alias(pattern, symbol) contained in the text; the alias list is a small table.
+    """(row columns, symbol) for each alias(pattern, symbol) contained anywhere in the text, in any letter case.
 
-    The word-level equi-join handles single-word patterns; aliases are matched as whole words.
+    A pattern may hold spaces and hyphens and stand inside a word. Its first three letters (all of a shorter one) are
+    the key of an equi-join with the distinct pieces of that length of the text; containment is confirmed after.
     """
-    words = df.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower(text), r"\W+"))))
-    keyed = aliases.select(F.lower("pattern").alias("_word"), "symbol")
-    return words.join(keyed, "_word").drop("_word").distinct()
+    lowered = F.lower(text)
+
+    def grams(n: int):
+        last = F.length("_text") - (n - 1)
+        at = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substr("_text", i, F.lit(n)))
+
+    pieces = df.withColumn("_text", lowered).withColumn("_gram", F.explode(F.array_distinct(F.concat(*[grams(n) for n in (1, 2, 3)]))))
+    keyed = aliases.select(F.lower("pattern").alias("_pattern"), "symbol").withColumn("_gram", F.substring("_pattern", 1, 3))
+    hits = pieces.join(keyed.filter(F.length("_pattern") > 0), "_gram").filter(F.contains("_text", "_pattern"))
+    return hits.drop("_gram", "_text", "_pattern").distinct()
 
 
 WORD_EDGES = r"(?U)(?<=\w)(?=\W)|(?<=\W)(?=\w)"

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from doseweave.functions.text import norm_name
 from doseweave.operators.clean import one_per
-from doseweave.plans.ordering import running_sums, score_bucket
+from doseweave.plans.ordering import running_sums, with_key_bucket
 
 
 def gene_profiles(evidence: DataFrame, structure: str = "structure", gene: str = "gene") -> DataFrame:
@@ -111,19 +111,21 @@ def feature_audit(features: DataFrame, drugs: DataFrame) -> DataFrame:
     )
 
 
-def label_rollup(records: DataFrame, max_chars: int = 400_000) -> DataFrame:
-    """records(record_id, drug_idx, text): labels per drug and their text in record order up to the cap.
+def label_rollup(records: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """records(record_id, drug_idx, text): labels per drug and their text in record order, up to a cap if one is given.
 
-    A record is appended while the text so far is below the cap. The running length decides which records that
+    With a cap a record is appended while the text so far is below the cap. The running length decides which records that
     is before any text is gathered, so a drug with very many labels never brings them all to one task.
     """
-    sized = records.withColumn("_len", F.length(F.coalesce("text", F.lit(""))) + 1)
-    lengths = running_sums(
-        sized.select("drug_idx", "record_id", "_len"), "record_id", ["_len"], ["drug_idx"],
-        bucket=score_bucket(F.col("record_id").cast("double")),
-    )
-    needed = lengths.filter(F.col("run__len") - F.col("_len") < max_chars).select("drug_idx", "record_id")
-    texts = records.join(needed, ["drug_idx", "record_id"]).groupBy("drug_idx").agg(
+    chosen = records
+    if max_chars is not None:
+        sized = with_key_bucket(records.withColumn("_len", F.length(F.coalesce("text", F.lit(""))) + 1), "record_id", "_cut")
+        lengths = running_sums(
+            sized.select("drug_idx", "record_id", "_len", "_cut"), "record_id", ["_len"], ["drug_idx"], bucket=F.col("_cut")
+        )
+        needed = lengths.filter(F.col("run__len") - F.col("_len") < max_chars).select("drug_idx", "record_id")
+        chosen = records.join(needed, ["drug_idx", "record_id"])
+    texts = chosen.groupBy("drug_idx").agg(
         F.sort_array(F.collect_list(F.struct("record_id", F.coalesce("text", F.lit("")).alias("t")))).alias("_t")
     )
     counts = records.groupBy("drug_idx").agg(F.count(F.lit(1)).alias("n_labels"))
