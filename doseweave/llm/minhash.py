@@ -104,12 +104,19 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def table_keys(classes: DataFrame) -> DataFrame:
-    """One row (``key``, ``id``) per class and table."""
-    part = lambda at: F.substring("sig", at * 8 + 1, 8)
-    first = F.array(*[part(i) for i in range(SIDE)])
-    second = F.array(*[part(SIDE + j) for j in range(SIDE)])
-    sides = classes.select("id", F.posexplode(first).alias("i", "a"), second.alias("second"))
-    return sides.select("id", "i", "a", F.posexplode("second").alias("j", "b")).select(F.xxhash64("i", "j", "a", "b").alias("key"), "id")
+    """One row (``key``, ``id``) per class and table in which it can meet another class.
+
+    A table key is a pair of side keys, so a class shares it only if it shares both sides. The ``2 * SIDE`` side keys are
+    counted first; only those that several classes have are brought back to their class and paired.
+    """
+    sides = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", k * 8 + 1, 8)) for k in range(2 * SIDE)])
+    keyed = classes.select("id", F.xxhash64("set_hash").alias("c"), F.posexplode(sides).alias("side", "h"))
+    several = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
+    shared = keyed.select("id", "c", (F.col("side") < SIDE).alias("left"), "h").join(several, "h", "left_semi")
+    met = shared.groupBy("id", "c").agg(
+        F.collect_list(F.when(F.col("left"), F.col("h"))).alias("a"), F.collect_list(F.when(~F.col("left"), F.col("h"))).alias("b")
+    )
+    return met.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
