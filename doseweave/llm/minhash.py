@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doseweave.llm.common import durable, map_texts
+from doseweave.llm.common import durable, map_texts, pieces
 
 SHINGLE = 4
 PERCENT = 80
@@ -120,14 +121,27 @@ def table_keys(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """``id`` and ``shingles`` (8 bytes each) of the documents that stand for the wanted classes."""
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    """``id`` and ``shingles`` (8 bytes each) of the documents that stand for the wanted classes.
 
-    def work():
-        shingles = Shingler(shingle)
-        return lambda texts: {"shingles": [shingles(t).tobytes() for t in texts]}
+    Rows of one id with equal texts are neighbours in their task and give one row.
+    """
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), text).join(ids, "id", "left_semi")
+
+    def run(batches):
+        shingles, before = Shingler(shingle), None
+        for batch in batches:
+            for start, end in pieces(pc.binary_length(batch.column(1)).to_pylist()):
+                names, sets = [], []
+                for name, value in zip(*[batch.column(i).slice(start, end - start).to_pylist() for i in range(2)], strict=True):
+                    row = (name, shingles(value).tobytes())
+                    if row != before:
+                        names.append(name)
+                        sets.append(row[1])
+                    before = row
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return map_texts(wanted, work, "shingles binary", keep=["id"])
+    return wanted.sortWithinPartitions("id", F.xxhash64("text")).mapInArrow(run, "id long, shingles binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +321,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     same_id = of_several.groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("all"))
     same_id = same_id.select("a", F.explode("all").alias("b")).filter("a <> b")
     wanted = stars.select("id").union(stars.select(F.col("c").alias("id"))).distinct()
-    sets = durable(_sets(docs, wanted, shingle).dropDuplicates(["id", "shingles"]))
+    sets = durable(_sets(docs, wanted, shingle))
     links = durable(_confirmed(pairs, sets, percent))
     label = durable(components(links))
     member = stars.select("key", "id").union(stars.select("key", F.col("c").alias("id")).distinct())
