@@ -83,8 +83,11 @@ def random_pair_partition(t: Tables) -> DataFrame:
 
 @query(
     RANDOM_SQL + """, seen AS (SELECT drug_a AS d FROM rnd WHERE partition = 'train' UNION SELECT drug_b FROM rnd WHERE partition = 'train'),
-mv AS (SELECT *, partition <> 'train' AND (drug_a NOT IN (SELECT d FROM seen) OR drug_b NOT IN (SELECT d FROM seen)) AS moved FROM rnd)
-SELECT drug_a, drug_b, CASE WHEN moved THEN 'train' ELSE partition END AS partition, moved FROM mv"""
+ends AS (SELECT *, unnest([drug_a, drug_b]) AS d FROM rnd WHERE partition <> 'train'),
+fst AS (SELECT DISTINCT drug_a, drug_b FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY partition = 'test', """ + sha("3", *PAIRS) + """) AS i
+  FROM ends WHERE d NOT IN (SELECT d FROM seen)) WHERE i = 1)
+SELECT drug_a, drug_b, CASE WHEN f.drug_a IS NULL THEN partition ELSE 'train' END AS partition, f.drug_a IS NOT NULL AS moved
+FROM rnd LEFT JOIN fst f USING (drug_a, drug_b)"""
 )
 def transductive_partition(t: Tables) -> DataFrame:
     return splits.transductive_split(part_pairs(t).select(*PAIRS), PAIRS, seed=3)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from doseweave.operators.ranking import auroc
 from doseweave.plans.hashing import priority
+from doseweave.plans.ordering import running_sums, score_bucket
 
 PER_HASH = 8
 # Upper 32-bit edges of Poisson(1): a draw's weight is how many edges it reaches.
@@ -132,7 +133,6 @@ def abstention_gain(
     """
     from doseweave.operators.metrics import evaluable
     from doseweave.operators.ranking import ranking_metrics
-    from doseweave.plans.ordering import running_sums
 
     def gain(drawn: DataFrame, by: Sequence[str]) -> DataFrame:
         totals = drawn.groupBy(*by).agg(F.sum("weight").alias("_n"))
@@ -160,23 +160,37 @@ def abstention_gain(
         "_i", interval.select(F.struct("*")).scalar()).select("*", "_i.*").drop("_i")
 
 
+def _step_adjusted(tests: DataFrame, p: str, by: Sequence[str], scaled: Callable, extreme: Callable, descending: bool, out: str) -> DataFrame:
+    """Running extreme of scaled p-values, capped at 1, in buckets of p with the extremes of the buckets before.
+
+    Equal p-values get equal answers, so they are counted first. A missing p is no test: it isn't counted and gets null.
+    """
+    keys = [*by, "_one"]
+    ties = tests.filter(F.col(p).isNotNull()).withColumn("_one", F.lit(1)).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_c"))
+    totals = ties.groupBy(*keys).agg(F.sum("_c").alias("_m"))
+    ranked = running_sums(ties, p, ["_c"], keys).join(totals, keys)
+    steps = ranked.withColumns({"_s": scaled(F.col(p), F.col("_m"), F.col("run__c"), F.col("_c")), "_b": score_bucket(F.col(p))})
+    turn = (lambda c: F.col(c).desc()) if descending else F.col
+    first = Window.unboundedPreceding
+    earlier = Window.partitionBy(*keys).orderBy(turn("_b")).rowsBetween(first, -1)
+    inside = Window.partitionBy(*keys, "_b").orderBy(turn(p)).rowsBetween(first, Window.currentRow)
+    before = steps.groupBy(*keys, "_b").agg(extreme("_s").alias("_x")).select(*keys, "_b", extreme("_x").over(earlier).alias("_before"))
+    reached = steps.withColumn("_in", extreme("_s").over(inside)).join(before, [*keys, "_b"])
+    both = F.array_compact(F.array("_in", "_before"))
+    last = F.array_min(both) if descending else F.array_max(both)
+    answers = reached.select(*by, p, F.least(F.lit(1.0), last).alias(out))
+    return tests.join(answers, [*by, p], "left").select(*tests.columns, out)
+
+
 def holm_adjust(tests: DataFrame, p: str, by: Sequence[str] = (), out: str = "p_holm") -> DataFrame:
-    """Running maximum of (m - i) p, capped at 1. A study's tests are few, one row per comparison."""
-    order = Window.partitionBy(*by).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    scaled = tests.withColumn("_s", (m - F.row_number().over(order) + 1) * F.col(p))
-    return scaled.withColumn(out, F.least(F.lit(1.0), F.max("_s").over(upto))).drop("_s")
+    """Running maximum of (m - i) p from the smallest p, capped at 1."""
+    return _step_adjusted(tests, p, by, lambda x, m, run, c: (m - (run - c)) * x, F.max, False, out)
 
 
 def bh_adjust(tests: DataFrame, p: str, by: Sequence[str] = (), out: str = "q_value", alpha: float = 0.05) -> DataFrame:
     """Running minimum of p m / rank from the largest p, capped at 1, and the decision at alpha."""
-    order = Window.partitionBy(*by).orderBy(p)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    down = Window.partitionBy(*by).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = tests.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.col(p) * m / F.col("_r"))
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min("_s").over(down))).withColumn(
-        "significant", F.col(out) <= alpha).drop("_r", "_s")
+    adjusted = _step_adjusted(tests, p, by, lambda x, m, run, c: x * m / run, F.min, True, out)
+    return adjusted.withColumn("significant", F.col(out) <= alpha)
 
 
 def signed_rank_p(differences: Sequence[float]) -> float | None:

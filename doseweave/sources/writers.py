@@ -95,8 +95,9 @@ def inventory(spark: SparkSession, folder: str, expected: DataFrame, hash_limit:
 
 
 def line_counts(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
-    """Lines per file; expected names without a file are listed with zero."""
-    counts = spark.read.option("recursiveFileLookup", True).text(path).groupBy(file_name().alias("name")).agg(F.count(F.lit(1)).alias("lines"))
+    """Lines per file (``path``, ``name``), files of one name in several folders apart; expected names without a file have zero."""
+    text = spark.read.option("recursiveFileLookup", True).text(path)
+    counts = text.groupBy(F.col("_metadata.file_path").alias("path"), file_name().alias("name")).agg(F.count(F.lit(1)).alias("lines"))
     if expected is None:
         return counts
     return expected.select("name").distinct().join(counts, "name", "full").withColumns(

@@ -71,3 +71,12 @@ def test_entry_and_contract(spark):
     assert "WindowGroupLimit" in plan
     read = queries["drug_severity_signals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in read
+
+
+def test_line_counts_keep_folders_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part.csv").write_text("1\n2\n")
+    expected = spark.createDataFrame([("part.csv",), ("absent.csv",)], "name string")
+    rows = writers.line_counts(spark, str(tmp_path), expected).collect()
+    assert sorted((r["name"], r["lines"], r["present"]) for r in rows) == [("absent.csv", 0, False), ("part.csv", 2, True), ("part.csv", 2, True)]

@@ -50,6 +50,17 @@ def test_transductive_endpoints_are_seen(spark):
     seen = set(train.drug_a) | set(train.drug_b)
     held = out[out.partition != "train"]
     assert out.moved.any() and len(held) and set(held.drug_a) | set(held.drug_b) <= seen
+    base = splits.random_pair_split(pairs.select("drug_a", "drug_b"), ["drug_a", "drug_b"], seed=2)
+    rows = splits.hash_order(base, ["drug_a", "drug_b"], 2).toPandas()
+    known = set(rows[rows.partition == "train"][["drug_a", "drug_b"]].to_numpy().ravel())
+    one_by_one = set()
+    for part in ("val", "test"):
+        for row in rows[rows.partition == part].sort_values("priority").itertuples():
+            if not {row.drug_a, row.drug_b} <= known:
+                one_by_one.add((row.drug_a, row.drug_b))
+                known |= {row.drug_a, row.drug_b}
+    moved = out[out.moved]
+    assert len(out) == len(rows) and set(zip(moved.drug_a, moved.drug_b)) == one_by_one
 
 
 def test_posthoc_roles_reuse_rare_class(spark):

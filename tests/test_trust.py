@@ -96,6 +96,19 @@ def test_wilcoxon_floor_and_adjustments(spark):
     assert np.allclose([holm[k] for k in "abc"], [0.03, 0.06, 0.06]) and np.allclose([bh[k] for k in "abc"], [0.03, 0.04, 0.04])
 
 
+def test_adjustments_with_ties_groups_and_missing(spark):
+    draw = np.random.default_rng(5)
+    rows = [(g, i, float(v)) for g in ("x", "y") for i, v in enumerate(np.round(draw.random(60) ** 3, 2))]
+    tests = spark.createDataFrame([*rows, ("x", 90, None)], "g string, i int, p double")
+    got = resampling.bh_adjust(resampling.holm_adjust(tests, "p", ["g"]), "p", ["g"]).toPandas()
+    assert len(got) == 121 and got[got.p.isna()].p_holm.isna().all()
+    for g in ("x", "y"):
+        part = got[(got.g == g) & got.p.notna()].sort_values("p")
+        p, m = part.p.to_numpy(), len(part)
+        assert np.allclose(part.p_holm, np.minimum(1, np.maximum.accumulate((m - np.arange(m)) * p)))
+        assert np.allclose(part.q_value, np.minimum(1, np.minimum.accumulate((p * m / np.arange(1, m + 1))[::-1])[::-1]))
+
+
 def test_paired_seeds(spark):
     rows = [("s", "base", i, 0.5 + 0.01 * i) for i in range(5)] + [("s", "new", i, 0.53 + 0.01 * i + 0.001 * (i % 2)) for i in range(5)]
     got = resampling.paired_seed_comparison(spark.createDataFrame(rows, "split string, features string, seed int, v double"), "v", "base", ["split"]).head()
