@@ -7,12 +7,17 @@ order, however large, is ever joined with itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.catalog.registry import Tables, query
 from doseweave.functions import numeric
 from doseweave.operators import clean, events, profiles
+from doseweave.plans.hashing import priority
+
+#: A drug is known in training if its hash lies in the first seven tenths, whatever the number of drugs.
+KNOWN_EDGE = "b333"
+KNOWN_SQL = f"(sha256('21' || chr(0) || {{}}) < '{KNOWN_EDGE}')"
 
 EDGES_SQL = """
 WITH raw AS (SELECT 'S' || l_suppkey AS source, 'S' || (l_partkey // 20) AS target,
@@ -23,8 +28,7 @@ evs AS (SELECT ev, count(*) AS n_pairs, row_number() OVER (ORDER BY ev) - 1 AS e
 coded AS (SELECT x.i AS drug_a, y.i AS drug_b, event_idx FROM facts JOIN drugs x ON a = x.d JOIN drugs y ON b = y.d JOIN evs USING (ev)),
 prs AS (SELECT drug_a, drug_b, row_number() OVER (ORDER BY drug_a, drug_b) - 1 AS pair_id FROM (SELECT DISTINCT drug_a, drug_b FROM coded)),
 labels_ AS (SELECT pair_id, event_idx FROM coded JOIN prs USING (drug_a, drug_b)),
-train AS (SELECT pair_id FROM prs WHERE drug_a <= 70 AND drug_b <= 70)
-"""
+""" + "train AS (SELECT pair_id FROM prs WHERE " + KNOWN_SQL.format("drug_a") + " AND " + KNOWN_SQL.format("drug_b") + ")\n"
 
 
 def supplier_edges(t: Tables) -> DataFrame:
@@ -39,8 +43,16 @@ def supplier_table(t: Tables) -> events.EventTable:
     return events.event_table(supplier_edges(t))
 
 
+def known(drug: str) -> Column:
+    return priority(21, F.col(drug)) < KNOWN_EDGE
+
+
+def known_pairs(table: events.EventTable) -> DataFrame:
+    return table.pairs.filter(known("drug_a") & known("drug_b"))
+
+
 def train_pairs(table: events.EventTable) -> DataFrame:
-    return table.pairs.filter("drug_a <= 70 AND drug_b <= 70").select("pair_id")
+    return known_pairs(table).select("pair_id")
 
 
 @query(EDGES_SQL + "SELECT pair_id, drug_a, drug_b FROM prs")
@@ -108,12 +120,13 @@ def frozen_vocabulary(t: Tables) -> DataFrame:
     return events.pos_weights(vocabulary, clip=0.5).withColumn("pos_weight", F.round("pos_weight", 9))
 
 
-PARTS_SQL = VOCAB_SQL + """, parts AS (SELECT pair_id, CASE WHEN drug_a <= 70 AND drug_b <= 70 THEN 'train' WHEN drug_a > 70 AND drug_b > 70 THEN 's1' ELSE 's2' END AS part FROM prs)
+PARTS_SQL = VOCAB_SQL + f""", seen AS (SELECT pair_id, {KNOWN_SQL.format('drug_a')} AS x, {KNOWN_SQL.format('drug_b')} AS y FROM prs),
+parts AS (SELECT pair_id, CASE WHEN x AND y THEN 'train' WHEN NOT x AND NOT y THEN 's1' ELSE 's2' END AS part FROM seen)
 """
 
 
 def partitions(table: events.EventTable) -> DataFrame:
-    a, b = F.col("drug_a") <= 70, F.col("drug_b") <= 70
+    a, b = known("drug_a"), known("drug_b")
     return table.pairs.select("pair_id", F.when(a & b, "train").when(~a & ~b, "s1").otherwise("s2").alias("partition"))
 
 
@@ -190,7 +203,7 @@ def multitask_label_vectors(t: Tables) -> DataFrame:
 @query(EDGES_SQL + "SELECT d AS drug, count(*) AS degree FROM (SELECT drug_a AS d FROM prs JOIN train USING (pair_id) UNION ALL SELECT drug_b FROM prs JOIN train USING (pair_id)) GROUP BY 1")
 def training_degree(t: Tables) -> DataFrame:
     table = supplier_table(t)
-    return events.degree(table.pairs.filter("drug_a <= 70 AND drug_b <= 70"))
+    return events.degree(known_pairs(table))
 
 
 @query(
@@ -199,7 +212,7 @@ SELECT pair_id, round(ln(1 + coalesce(x.n, 0)) + ln(1 + coalesce(y.n, 0)), 9) AS
 )
 def pair_popularity(t: Tables) -> DataFrame:
     table = supplier_table(t)
-    scored = events.popularity_score(table.pairs, table.pairs.filter("drug_a <= 70 AND drug_b <= 70"))
+    scored = events.popularity_score(table.pairs, known_pairs(table))
     return scored.select("pair_id", F.round("popularity", 9).alias("popularity"))
 
 
