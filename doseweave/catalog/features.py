@@ -18,14 +18,14 @@ def drugs(t: Tables) -> DataFrame:
 
 
 def target_rows(t: Tables) -> DataFrame:
-    return t.lineitem.filter("l_quantity > 49").select(
-        F.col("l_suppkey").alias("drug"), F.concat(F.lit("T"), F.col("l_partkey") % 30).alias("uniprot"),
+    return t.lineitem.select(
+        F.col("l_suppkey").alias("drug"), F.concat(F.lit("T"), F.floor(F.col("l_partkey") / 10)).alias("uniprot"),
         F.when(F.col("l_returnflag") == "R", "Homo sapiens").otherwise("Mus musculus").alias("organism"),
-        F.concat(F.lit("class"), F.col("l_linenumber")).alias("target_class"),
+        F.concat(F.lit("class"), (F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).cast("string")).alias("target_class"),
     )
 
 
-BLOCK_SQL = """WITH it AS (SELECT DISTINCT l_suppkey AS drug, {item} AS item FROM lineitem WHERE l_quantity > 49 {where})
+BLOCK_SQL = """WITH it AS (SELECT DISTINCT l_suppkey AS drug, {item} AS item FROM lineitem {where})
 SELECT s_suppkey AS drug, coalesce(string_agg(item, ',' ORDER BY item), '') AS items, count(item) > 0 AS known FROM supplier LEFT JOIN it ON drug = s_suppkey GROUP BY 1"""
 
 
@@ -33,24 +33,24 @@ def flat(block: DataFrame) -> DataFrame:
     return block.select("drug", F.concat_ws(",", "items").alias("items"), "known")
 
 
-@query(BLOCK_SQL.format(item="'T' || (l_partkey % 30)", where="AND l_returnflag = 'R'"))
+@query(BLOCK_SQL.format(item="'T' || (l_partkey // 10)", where="WHERE l_returnflag = 'R'"))
 def target_block(t: Tables) -> DataFrame:
     return flat(blocks.target_block(drugs(t), target_rows(t), human_only=True))
 
 
-@query(BLOCK_SQL.format(item="'class' || l_linenumber", where=""))
+@query(BLOCK_SQL.format(item="'class' || (l_quantity::INTEGER * 10 + l_linenumber)", where=""))
 def class_block(t: Tables) -> DataFrame:
     return flat(blocks.class_block(drugs(t), target_rows(t)))
 
 
 @query(
-    """WITH c AS (SELECT l_suppkey AS drug, 'B' || lpad((l_quantity::INTEGER)::VARCHAR, 2, '0') || 'AC0' || l_linenumber AS code FROM lineitem WHERE l_tax = 0.08 AND l_quantity > 45),
+    """WITH c AS (SELECT l_suppkey AS drug, 'B' || lpad((l_quantity::INTEGER)::VARCHAR, 2, '0') || 'AC0' || l_linenumber AS code FROM lineitem),
 it AS (SELECT DISTINCT drug, unnest([code[1:1], code[1:3], code[1:4], code[1:5]]) AS item FROM c)
 SELECT s_suppkey AS drug, coalesce(string_agg(item, ',' ORDER BY item), '') AS items, count(item) > 0 AS known FROM supplier LEFT JOIN it ON drug = s_suppkey GROUP BY 1"""
 )
 def code_block(t: Tables) -> DataFrame:
     code = F.concat(F.lit("b"), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0"), F.lit("AC0"), F.col("l_linenumber"))
-    rows = t.lineitem.filter("l_tax = 0.08 AND l_quantity > 45").select(F.col("l_suppkey").alias("drug"), code.alias("atc_code"))
+    rows = t.lineitem.select(F.col("l_suppkey").alias("drug"), code.alias("atc_code"))
     return flat(blocks.atc_block(drugs(t), rows))
 
 
@@ -69,7 +69,7 @@ def enzyme_block(t: Tables) -> DataFrame:
 
 
 GENES_SQL = """WITH pf AS (SELECT p_brand || p_type AS structure, p_size AS sz, [p_name, 'G' || p_size] AS genes FROM part WHERE p_size < 40),
-dr AS (SELECT p_partkey AS drug, p_brand || p_type AS structure FROM part WHERE p_retailprice < 950)
+dr AS (SELECT p_partkey AS drug, p_brand || p_type AS structure FROM part)
 """
 
 
@@ -77,7 +77,7 @@ def gene_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = F.concat("p_brand", "p_type")
     profiles = t.part.filter("p_size < 40").select(
         key.alias("structure"), F.to_json(F.array(F.col("p_name"), F.concat(F.lit("G"), "p_size"))).alias("genes_list"))
-    return t.part.filter("p_retailprice < 950").select(F.col("p_partkey").alias("drug"), key.alias("structure")), profiles
+    return t.part.select(F.col("p_partkey").alias("drug"), key.alias("structure")), profiles
 
 
 @query(
@@ -111,8 +111,8 @@ def structure_name_bridge(t: Tables) -> DataFrame:
     return blocks.name_bridge(rows)
 
 
-MATRIX_SQL = """WITH tg AS (SELECT DISTINCT l_suppkey AS drug, 'T' || (l_partkey % 30) AS item FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'),
-cl AS (SELECT DISTINCT l_suppkey AS drug, 'class' || l_linenumber AS item FROM lineitem WHERE l_quantity > 49), tv AS (SELECT DISTINCT item FROM tg), cv AS (SELECT DISTINCT item FROM cl)
+MATRIX_SQL = """WITH tg AS (SELECT DISTINCT l_suppkey AS drug, 'T' || (l_partkey // 10) AS item FROM lineitem WHERE l_returnflag = 'R'),
+cl AS (SELECT DISTINCT l_suppkey AS drug, 'class' || (l_quantity::INTEGER * 10 + l_linenumber) AS item FROM lineitem), tv AS (SELECT DISTINCT item FROM tg), cv AS (SELECT DISTINCT item FROM cl)
 """
 
 
@@ -267,7 +267,7 @@ def event_logistic_scores(t: Tables) -> DataFrame:
     table, rows = event_pairs(t)
     vocabulary = events.pos_weights(events.freeze_vocabulary(table.labels, train_pairs(table), min_pos=20))
     prior = events.frequency_prior(table.labels, train_pairs(table), vocabulary)
-    scores = learning.event_logistic(rows.select("pair_id", "partition", "features"), table.labels, vocabulary, prior, iters=5, fit_heads=2)
+    scores = learning.event_logistic(rows.select("pair_id", "partition", "features"), table.labels, vocabulary, prior, iters=5)
     return rounded(scores.groupBy("event_idx").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), 3)
 
 

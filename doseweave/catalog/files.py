@@ -207,11 +207,19 @@ def file_line_counts(t: Tables) -> DataFrame:
     return counts.agg(F.sum("lines").alias("lines"), F.count_if("present").alias("letters"), F.count_if(~F.col("present")).alias("missing"))
 
 
-@query()
+@query(
+    """SELECT sha256(string_agg(s_suppkey || '|' || s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS sha256, 'present' AS status FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT NULL, '(missing)'"""
+)
 def file_inventory(t: Tables) -> DataFrame:
-    """Presence and hash status of the data folder's own files."""
-    expected = t.region.filter("r_regionkey < 3").select(F.get(F.array(*map(F.lit, ["orders.parquet", "part.parquet", "absent.parquet"])), F.col("r_regionkey")).alias("name"))
-    return writers.inventory(t.spark, t.folder, expected, 1 << 20).select("name", "status")
+    """Presence and content hash of one text file per nation and of one that was never written."""
+    base = scratch(t, "inventory")
+    lines = t.supplier.select("s_nationkey", "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name").alias("value"))
+    ordered = lines.repartition("s_nationkey").sortWithinPartitions("s_nationkey", "s_suppkey")
+    ordered.select("s_nationkey", "value").write.partitionBy("s_nationkey").text(base)
+    written = readers.list_files(t.spark, base, "*.txt").select("name")
+    expected = written.unionByName(t.region.filter("r_regionkey = 0").select(F.lit("absent.txt").alias("name")))
+    return writers.inventory(t.spark, base, expected).filter("name LIKE '%.txt'").select("sha256", "status")
 
 
 # Streaming: the events file arrives as a stream and every query runs until it is consumed.

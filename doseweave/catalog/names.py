@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.catalog.registry import Tables, query
@@ -90,25 +90,22 @@ def structures_by_skeleton(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT p_partkey, p_name || p_size AS exact, p_name AS parent, p_brand || p_type AS skeleton FROM part
-  WHERE p_retailprice < 905),
+    """WITH r AS (SELECT p_partkey, p_name || (p_size + 1) AS exact, p_type || (p_size + 7) AS parent, p_brand || (p_size + 13) AS skeleton FROM part),
 e AS (SELECT exact, min(p_partkey) AS id FROM r GROUP BY 1), p AS (SELECT parent, min(p_partkey) AS id FROM r GROUP BY 1),
 s AS (SELECT skeleton, min(p_partkey) AS id FROM r GROUP BY 1)
 SELECT p_partkey, coalesce(e.id, p.id, s.id) AS match_id,
   CASE WHEN e.id IS NOT NULL THEN 'exact' WHEN p.id IS NOT NULL THEN 'parent' WHEN s.id IS NOT NULL THEN 'skeleton'
        ELSE 'unmatched' END AS match_tier
-FROM part l LEFT JOIN e ON l.p_name || l.p_size = e.exact LEFT JOIN p ON l.p_name = p.parent
-LEFT JOIN s ON l.p_brand || l.p_type = s.skeleton"""
+FROM part l LEFT JOIN e ON l.p_name || l.p_size = e.exact LEFT JOIN p ON l.p_type || l.p_size = p.parent
+LEFT JOIN s ON l.p_brand || l.p_size = s.skeleton"""
 )
 def tiered_structure_match(t: Tables) -> DataFrame:
-    keyed = t.part.select(
-        "p_partkey", "p_retailprice", F.concat("p_name", F.col("p_size").cast("string")).alias("exact"),
-        F.col("p_name").alias("parent"), F.concat("p_brand", "p_type").alias("skeleton"),
-    )
-    right = keyed.filter("p_retailprice < 905").select(
-        F.col("p_partkey").alias("rid"), F.col("exact").alias("r_exact"), F.col("parent").alias("r_parent"),
-        F.col("skeleton").alias("r_skeleton"),
-    )
+    def keys(name: str, steps: tuple[int, int, int]) -> list[Column]:
+        columns = zip(("exact", "parent", "skeleton"), ("p_name", "p_type", "p_brand"), steps, strict=True)
+        return [F.concat(column, (F.col("p_size") + step).cast("string")).alias(name + tier) for tier, column, step in columns]
+
+    keyed = t.part.select("p_partkey", *keys("", (0, 0, 0)))
+    right = t.part.select(F.col("p_partkey").alias("rid"), *keys("r_", (1, 7, 13)))
     tiers = [("exact", "exact", "r_exact"), ("parent", "parent", "r_parent"), ("skeleton", "skeleton", "r_skeleton")]
     return identity.tiered_match(keyed, right, tiers, "rid").select("p_partkey", "match_id", "match_tier")
 
@@ -177,7 +174,7 @@ both_ AS (SELECT a.id AS ia, b.id AS ib, CASE lower(trim(coalesce(lv, 'unknown')
   WHEN 'minor' THEN 1 ELSE 0 END AS rk FROM raw JOIN uniq a ON lower(na) = a.name JOIN uniq b ON lower(nb) = b.name
   WHERE a.id <> b.id),
 basep AS (SELECT DISTINCT least(l_suppkey, l_partkey // 20) AS a, greatest(l_suppkey, l_partkey // 20) AS b FROM lineitem
-  WHERE l_returnflag = 'A' AND l_quantity < 20),
+  WHERE l_returnflag = 'A'),
 br AS (SELECT least(ia, ib) AS drug_a, greatest(ia, ib) AS drug_b, max(rk) AS rk, count(*) AS n_records FROM both_ GROUP BY 1, 2),
 bridge AS (SELECT drug_a, drug_b, ['unknown', 'minor', 'moderate', 'major'][rk + 1] AS severity, n_records,
   b.a IS NOT NULL AS in_base FROM br LEFT JOIN basep b ON drug_a = a AND drug_b = b)
@@ -199,7 +196,7 @@ def curated(t: Tables) -> tuple[DataFrame, DataFrame]:
         .join(first.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("name_a")), "l_suppkey")
         .join(second.select(F.col("s_suppkey").alias("other"), F.col("s_name").alias("name_b")), "other")
     )
-    pairs = t.lineitem.filter("l_returnflag = 'A' AND l_quantity < 20").select(
+    pairs = t.lineitem.filter("l_returnflag = 'A'").select(
         F.col("l_suppkey").alias("drug_a"), F.floor(F.col("l_partkey") / 20).alias("drug_b")
     )
     return identity.curated_bridge(rows, names, pairs), pairs
@@ -323,7 +320,7 @@ def index_pairs_to_structures(t: Tables) -> DataFrame:
 
 @query(
     """WITH dev AS (SELECT DISTINCT least(l_suppkey, l_partkey // 20) AS a, greatest(l_suppkey, l_partkey // 20) AS b
-  FROM lineitem WHERE l_returnflag = 'R' AND l_tax < 0.03)
+  FROM lineitem WHERE l_returnflag = 'R')
 SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM dev WHERE a = least(o_custkey % 90, o_orderkey % 100)
   AND b = greatest(o_custkey % 90, o_orderkey % 100))"""
 )
@@ -331,7 +328,7 @@ def external_pair_overlap(t: Tables) -> DataFrame:
     external = t.orders.select(
         "o_orderkey", (F.col("o_custkey") % 90).alias("a"), (F.col("o_orderkey") % 100).alias("b")
     )
-    development = t.lineitem.filter("l_returnflag = 'R' AND l_tax < 0.03").select(
+    development = t.lineitem.filter("l_returnflag = 'R'").select(
         F.col("l_suppkey").alias("a"), F.floor(F.col("l_partkey") / 20).alias("b")
     )
     return identity.external_overlap(external, development, "a", "b").select("o_orderkey")
@@ -401,13 +398,13 @@ def name_priority_codes(t: Tables) -> DataFrame:
 
 @query(
     """WITH u AS (SELECT DISTINCT l_suppkey AS drug_idx, l_partkey // 25 AS target, NULL AS cls, 'first' AS source FROM lineitem WHERE l_returnflag = 'R'
-  UNION ALL SELECT DISTINCT l_suppkey, l_partkey // 25, CASE WHEN l_partkey // 25 % 3 > 0 THEN 'class' || (l_partkey // 25 % 3) END, 'second' FROM lineitem WHERE l_returnflag = 'A' AND l_quantity < 25)
+  UNION ALL SELECT DISTINCT l_suppkey, l_partkey // 25, CASE WHEN l_partkey // 25 % 3 > 0 THEN 'class' || (l_partkey // 25 % 3) END, 'second' FROM lineitem WHERE l_returnflag = 'A')
 SELECT drug_idx, target, max(cls) AS target_class, string_agg(DISTINCT source, '+' ORDER BY source) AS source FROM u GROUP BY 1, 2"""
 )
 def union_target_sources(t: Tables) -> DataFrame:
     target = F.floor(F.col("l_partkey") / 25)
     first = t.lineitem.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("drug_idx"), target.alias("target"))
-    second = t.lineitem.filter("l_returnflag = 'A' AND l_quantity < 25").select(
+    second = t.lineitem.filter("l_returnflag = 'A'").select(
         F.col("l_suppkey").alias("drug_idx"), target.alias("target"),
         F.when(target % 3 > 0, F.concat(F.lit("class"), target % 3)).alias("target_class"),
     )
@@ -415,7 +412,7 @@ def union_target_sources(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH ev AS (SELECT DISTINCT lower(p_name) AS n, p_brand AS gene FROM part WHERE p_size < 12),
+    """WITH ev AS (SELECT DISTINCT lower(p_name) AS n, p_brand AS gene FROM part),
 nd AS (SELECT p_partkey AS drug_idx, unnest([lower(p_name), lower('hot ' || split_part(p_name, ' ', 2))]) AS n FROM part),
 f AS (SELECT drug_idx, string_agg(DISTINCT gene, ',' ORDER BY gene) AS genes FROM nd JOIN ev USING (n) GROUP BY 1)
 SELECT p_partkey AS drug_idx, coalesce(f.genes, p_type) AS genes, f.genes IS NOT NULL AS enriched
@@ -426,7 +423,7 @@ def genes_by_name_or_synonym(t: Tables) -> DataFrame:
         F.col("p_partkey").alias("drug_idx"), F.col("p_name").alias("name"),
         F.array(F.concat(F.lit("Hot "), F.split_part("p_name", F.lit(" "), F.lit(2)))).alias("synonyms"), F.array("p_type").alias("genes"),
     )
-    evidence = t.part.filter("p_size < 12").select(F.col("p_name").alias("drug_name"), F.col("p_brand").alias("gene"))
+    evidence = t.part.select(F.col("p_name").alias("drug_name"), F.col("p_brand").alias("gene"))
     found = identity.enrich_by_name_or_synonym(nodes, evidence)
     return found.select("drug_idx", F.concat_ws(",", "genes").alias("genes"), "enriched")
 
@@ -447,12 +444,12 @@ def best_catalogue_match(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45),
+    """WITH w AS (SELECT DISTINCT l_partkey AS k FROM lineitem),
 l AS (SELECT DISTINCT p_partkey AS k FROM part WHERE p_size > 10)
 SELECT count(*) AS wanted, count(l.k) AS found, round(count(l.k)::DOUBLE / count(*), 9) AS coverage FROM w LEFT JOIN l USING (k)"""
 )
 def local_sequence_coverage(t: Tables) -> DataFrame:
-    wanted = t.lineitem.filter("l_quantity > 45").select(F.col("l_partkey").alias("k"))
+    wanted = t.lineitem.select(F.col("l_partkey").alias("k"))
     _, _, coverage = identity.local_then_missing(wanted, t.part.filter("p_size > 10").select(F.col("p_partkey").alias("k")), "k")
     return coverage.withColumn("coverage", F.round("coverage", 9))
 
@@ -579,14 +576,14 @@ def enzyme_role_flags(t: Tables) -> DataFrame:
 
 @query(
     """WITH w AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}\\p{M}_]+'))) AS name FROM benchmark),
-lex AS (SELECT name, min(length(name)) OVER () AS z FROM w WHERE length(name) >= 7),
+lex AS (SELECT name, min(length(name)) OVER () AS z FROM w WHERE length(name) >= 5),
 tok AS (SELECT doc_id, lower(unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}\\p{M}_]+'))) AS name FROM documents)
 SELECT doc_id, name, count(*) AS n_mentions FROM tok JOIN lex USING (name) GROUP BY 1, 2"""
 )
 def label_mentions(t: Tables) -> DataFrame:
     words = t.benchmark.select(F.explode(F.split("text", r"(?U)[^\w]+")).alias("name")).select(F.lower("name").alias("name"))
-    lexicon = words.distinct().filter("length(name) >= 7").withColumn("name_id", F.xxhash64("name"))
-    found = text.find_mentions(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon, min_length=7)
+    lexicon = words.distinct().filter("length(name) >= 5").withColumn("name_id", F.xxhash64("name"))
+    found = text.find_mentions(t.documents.select("doc_id", "text"), "doc_id", "text", lexicon)
     return found.join(lexicon, "name_id").select("doc_id", "name", "n_mentions")
 
 

@@ -378,24 +378,24 @@ def expression_gene_scores(t: Tables) -> DataFrame:
 
 
 @query(
-    EXPR_SQL + """, dg AS (SELECT DISTINCT l_suppkey AS drug, 'G' || (l_partkey // 10) AS gene FROM lineitem WHERE l_quantity > 40)
+    EXPR_SQL + """, dg AS (SELECT DISTINCT l_suppkey AS drug, 'G' || (l_partkey // 10) AS gene FROM lineitem)
 SELECT drug, disease, round(avg(score), 4) AS overlap FROM dg JOIN sig USING (gene) GROUP BY 1, 2"""
 )
 def disease_signature_overlap(t: Tables) -> DataFrame:
-    genes = t.lineitem.filter("l_quantity > 40").select(
+    genes = t.lineitem.select(
         F.col("l_suppkey").alias("drug"), F.concat(F.lit("G"), F.floor(F.col("l_partkey") / 10)).alias("gene")
     )
     return profiles.signature_overlap(genes, expression_signatures(t))
 
 
 @query(
-    """WITH tg AS (SELECT l_suppkey AS drug, l_partkey % 500 AS vec_id, max(CASE WHEN l_returnflag = 'R' THEN 2.0 ELSE 1.0 END)::DOUBLE AS w FROM lineitem GROUP BY 1, 2),
+    """WITH tg AS (SELECT l_suppkey AS drug, l_partkey AS vec_id, max(CASE WHEN l_returnflag = 'R' THEN 2.0 ELSE 1.0 END)::DOUBLE AS w FROM lineitem GROUP BY 1, 2),
 x AS (SELECT drug, w, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM tg JOIN embeddings USING (vec_id)),
 m AS (SELECT drug, i, sum(w * v) / sum(w) AS v FROM x GROUP BY 1, 2)
 SELECT drug, round(sum(v * i), 6) AS checksum, count(*)::INTEGER AS dims FROM m GROUP BY 1"""
 )
 def weighted_target_vectors(t: Tables) -> DataFrame:
-    targets = t.lineitem.groupBy(F.col("l_suppkey").alias("drug"), (F.col("l_partkey") % 500).alias("target")).agg(
+    targets = t.lineitem.groupBy(F.col("l_suppkey").alias("drug"), F.col("l_partkey").alias("target")).agg(
         F.max(F.when(F.col("l_returnflag") == "R", 2.0).otherwise(1.0)).alias("weight")
     )
     vectors = t.embeddings.select(F.col("vec_id").alias("target"), F.col("embedding").alias("vector"))
@@ -405,17 +405,17 @@ def weighted_target_vectors(t: Tables) -> DataFrame:
 
 
 FEATURE_SQL = """
-WITH f AS (SELECT DISTINCT l_suppkey AS drug, 'target' AS block, 'T' || (l_partkey % 40) AS item FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R'
-  UNION SELECT DISTINCT l_suppkey, 'class', 'C' || l_linenumber FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A')
+WITH f AS (SELECT DISTINCT l_suppkey AS drug, 'target' AS block, 'T' || (l_partkey // 10) AS item FROM lineitem WHERE l_returnflag = 'R'
+  UNION SELECT DISTINCT l_suppkey, 'class', 'C' || (l_quantity::INTEGER * 10 + l_linenumber) FROM lineitem WHERE l_returnflag = 'A')
 """
 
 
 def feature_rows(t: Tables) -> DataFrame:
-    target = t.lineitem.filter("l_quantity > 48 AND l_returnflag = 'R'").select(
-        F.col("l_suppkey").alias("drug"), F.lit("target").alias("block"), F.concat(F.lit("T"), F.col("l_partkey") % 40).alias("item")
+    target = t.lineitem.filter("l_returnflag = 'R'").select(
+        F.col("l_suppkey").alias("drug"), F.lit("target").alias("block"), F.concat(F.lit("T"), F.floor(F.col("l_partkey") / 10)).alias("item")
     )
-    cls = t.lineitem.filter("l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A'").select(
-        F.col("l_suppkey").alias("drug"), F.lit("class").alias("block"), F.concat(F.lit("C"), "l_linenumber").alias("item")
+    cls = t.lineitem.filter("l_returnflag = 'A'").select(
+        F.col("l_suppkey").alias("drug"), F.lit("class").alias("block"), F.concat(F.lit("C"), (F.col("l_quantity").cast("int") * 10 + F.col("l_linenumber")).cast("string")).alias("item")
     )
     return target.unionByName(cls).distinct()
 
@@ -503,9 +503,9 @@ def partition_overlaps(t: Tables) -> DataFrame:
     return profiles.overlap_counts(members)
 
 
-@query("SELECT l_suppkey AS drug FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity > 49 UNION SELECT l_partkey // 20 FROM lineitem WHERE l_returnflag <> 'N' AND l_quantity > 49")
+@query("SELECT l_suppkey AS drug FROM lineitem WHERE l_returnflag <> 'N' UNION SELECT l_partkey // 20 FROM lineitem WHERE l_returnflag <> 'N'")
 def non_train_structures(t: Tables) -> DataFrame:
-    splits = t.lineitem.filter("l_quantity > 49").select(
+    splits = t.lineitem.select(
         F.col("l_suppkey").alias("a"), F.floor(F.col("l_partkey") / 20).alias("b"),
         F.when(F.col("l_returnflag") == "N", "transductive_train").otherwise("s2_test").alias("split"),
     )

@@ -346,8 +346,8 @@ def permuted_feature_control(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT DISTINCT l_suppkey AS drug, 'target' AS block, 'T' || (l_partkey % 40) AS item FROM lineitem WHERE l_quantity > 48 AND l_returnflag = 'R'
-  UNION SELECT DISTINCT l_suppkey, 'class', 'C' || l_linenumber FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_returnflag = 'A'),
+    """WITH f AS (SELECT DISTINCT l_suppkey AS drug, 'target' AS block, 'T' || (l_partkey // 10) AS item FROM lineitem WHERE l_returnflag = 'R'
+  UNION SELECT DISTINCT l_suppkey, 'class', 'C' || (l_quantity::INTEGER * 10 + l_linenumber) FROM lineitem WHERE l_returnflag = 'A'),
 k AS (SELECT DISTINCT drug, block FROM f WHERE drug % 7 <> 3)
 SELECT block, (SELECT count(*) FROM k WHERE k.block = f.block) AS known_drugs, count(*) FILTER (WHERE drug % 7 = 3) AS leaked_cells,
   round(100.0 * (SELECT count(*) FROM k WHERE k.block = f.block)::DOUBLE / (SELECT count(*) FROM supplier), 4) AS coverage_pct FROM f GROUP BY 1"""

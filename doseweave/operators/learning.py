@@ -38,12 +38,11 @@ def predict_probability(model, rows: DataFrame, out: str = "score") -> DataFrame
     return scored.drop("rawPrediction", "probability", "prediction")
 
 
-def event_logistic(rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, iters: int = 25, fit_heads: int | None = None) -> DataFrame:
-    """rows(pair_id, partition, features) to pair_id, event_idx, score: one weighted fit per frequent event, the
-    training prior elsewhere. The frozen vocabulary is small by contract; its heads are the driver's loop."""
-    heads = [r["event_idx"] for r in vocabulary.orderBy(F.desc("train_pos"), "event_idx").select("event_idx").collect()]
-    chosen = heads if fit_heads is None else heads[:fit_heads]
-    weights = {r["event_idx"]: r["pos_weight"] for r in vocabulary.filter(F.col("event_idx").isin(chosen)).collect()}
+def event_logistic(rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, iters: int = 25) -> DataFrame:
+    """rows(pair_id, partition, features) to pair_id, event_idx, score: one weighted fit per event of the vocabulary,
+    the training prior elsewhere. The frozen vocabulary is small by contract; its heads are the driver's loop."""
+    weights = {r["event_idx"]: r["pos_weight"] for r in vocabulary.orderBy("event_idx").select("event_idx", "pos_weight").collect()}
+    chosen = list(weights)
     train = rows.filter("partition = 'train'").cache()
     parts = []
     for event in chosen:

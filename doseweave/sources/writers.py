@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from doseweave.operators.events import EventTable
 from doseweave.sources.readers import file_name, list_files
 
+#: Bytes of the largest file that Spark's binary reader can load.
+READER_LIMIT = (1 << 31) - 1
+
 
 def write_event_table(table: EventTable, folder: str) -> DataFrame:
     """The four tables as parquet and a one-row JSON manifest of their counts, read back from the files."""
@@ -83,15 +86,15 @@ def replace_matching(new: DataFrame, path: str, key: Sequence[str]) -> None:
     fs.delete(as_path(retired), True)
 
 
-def inventory(spark: SparkSession, folder: str, expected: DataFrame, hash_limit: int = 1 << 28) -> DataFrame:
-    """expected(name) against the files below a folder: presence, bytes and content hash up to a size limit."""
+def inventory(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """expected(name) against the files below a folder (by ``path``): presence, bytes and content hash of every file.
+
+    Spark's binary reader hands a file over whole; one above its limit of 2 GiB is present without a hash.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    small = files.filter(F.col("length") <= hash_limit).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"))
-    sizes = list_files(spark, folder).select("name", "bytes").join(small, "name", "left")
-    joined = expected.select("name").join(sizes, "name", "full")
-    status = F.when(F.col("bytes").isNull(), "(missing)").when(F.col("sha256").isNull(), "present, not hashed").otherwise("present")
-    return joined.withColumn("status", status)
+    hashed = files.filter(F.col("length") <= READER_LIMIT).select("path", F.sha2("content", 256).alias("sha256"))
+    joined = expected.select("name").distinct().join(list_files(spark, folder).join(hashed, "path", "left"), "name", "full")
+    return joined.withColumn("status", F.when(F.col("path").isNull(), "(missing)").otherwise("present"))
 
 
 def line_counts(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:

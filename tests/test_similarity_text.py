@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,28 @@ def test_unicode_names_and_gene_lists(spark):
     assert got == {"Ａspirin  (100 mg)": "aspirin 100 mg", "Étoile-Ⅱ": "étoile ii", "--": None, "Plain Name": "plain name", None: None}
     genes = spark.createDataFrame([('["B", "A", "A"]',), ("['X Y', 'B']",), ("c; b|a",), ("nan",), ("[]",), (None,)], "g string")
     assert [r[0] for r in genes.select(text.parse_gene_list(F.col("g"))).collect()] == [["A", "B"], ["B", "X Y"], ["a", "b", "c"], [], [], []]
+
+
+def test_overlaps_in_pieces_of_items(monkeypatch):
+    monkeypatch.setattr(similarity, "ITEM_COLUMNS", 7)
+    items = pd.Series([x for _, x in sets(30, 3, 2)] + [[]])
+    got = similarity._overlaps(items, items)
+    assert got.tolist() == [[len(set(x) & set(y)) for y in items] for x in items]
+    assert similarity._overlaps(items, pd.Series([[], []])).tolist() == [[0, 0]] * len(items)
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.6])
+def test_threshold_join_of_two_tables(spark, threshold):
+    left, right = sets(60, 4, 5), [*sets(50, 5, 5), (999, [])]
+    frames = [spark.createDataFrame(rows, "id long, items array<int>") for rows in (left, right)]
+    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in similarity.tanimoto_pairs(*frames, threshold).collect()}
+    want = {(i, j): brute(x, y) for i, x in left for j, y in right if brute(x, y) >= threshold}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_weighted_imputation_is_gated_on_the_best_match(spark):
+    rows = [(1, [1, 2, 3], 6.0, 4), (2, [1, 2, 9], 2.0, 2), (3, [1, 2, 3, 4], None, None), (4, [1, 8, 7, 6], None, None)]
+    df = spark.createDataFrame(rows, "id long, items array<int>, value double, n long")
+    got = {r["id"]: r for r in similarity.knn_weighted_impute(df, "value", "n", 0.7, 2).collect()}
+    assert abs(got[3]["value"] - (0.75 * 6 + 0.4 * 2) / 1.15) < 1e-12 and got[3]["n"] == 3
+    assert got[4]["value"] is None and got[4]["provenance"] == "unprofiled"
