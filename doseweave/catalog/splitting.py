@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doseweave.catalog.pairs import feature_rows
 from doseweave.catalog.registry import Tables, query
 from doseweave.operators import clean, negatives, splits
+from doseweave.session import durable
 
 PAIRS = ["drug_a", "drug_b"]
 
@@ -192,11 +193,11 @@ spl AS (SELECT drug_a, drug_b, label, split FROM seen UNION ALL SELECT drug_a, d
 
 @query(START_SQL + "SELECT drug, role FROM roles")
 def cold_start_roles(t: Tables) -> DataFrame:
-    return splits.cold_start_groups(part_pairs(t), 0.15, 42)
+    return splits.cold_start_groups(durable(part_pairs(t)), 0.15, 42)
 
 
 def start_splits(t: Tables) -> tuple[DataFrame, DataFrame]:
-    pairs = part_pairs(t)
+    pairs = durable(part_pairs(t))
     roles = splits.cold_start_groups(pairs, 0.15, 42)
     return splits.cold_start_splits(pairs, roles, "label", 0.10, 42), roles
 

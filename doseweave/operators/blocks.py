@@ -11,6 +11,8 @@ from doseweave.functions.numeric import cyp_overlap
 from doseweave.functions.text import ISOFORMS, ROLE_WORDS, atc_levels, parse_gene_list, split_accessions
 from doseweave.operators.clean import one_per
 from doseweave.operators.profiles import all_drugs
+from doseweave.plans.ordering import dense_ids
+from doseweave.session import durable
 
 CYP_COLUMNS = tuple(f"cyp{iso}_{role}" for iso in ISOFORMS for role in ROLE_WORDS)
 
@@ -74,21 +76,30 @@ def name_bridge(matched: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(block: DataFrame) -> DataFrame:
-    """The sorted vocabulary of an item block as one array row."""
-    return block.select(F.explode("items").alias("item")).distinct().agg(F.sort_array(F.collect_list("item")).alias("vocabulary"))
+def _spread(block: DataFrame, name: str) -> DataFrame:
+    """drug and the 0/1 values of its items in the order of all items, as runs of zeros between the drug's own places."""
+    items = durable(block.select("drug", F.explode("items").alias("item")).distinct())
+    numbered = dense_ids(items.select("item").distinct(), "item", "place")
+    width = items.agg(F.count_distinct("item").cast("int")).scalar()
+    own = items.join(numbered, "item").groupBy("drug").agg(F.sort_array(F.collect_list(F.col("place").cast("int"))).alias("p"))
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("p", i - 1))
+    runs = F.flatten(F.transform("p", lambda x, i: F.concat(zeros(x - before(i) - 1), F.array(F.lit(1)))))
+    last = F.coalesce(F.array_max("p"), F.lit(-1))
+    coded = block.select("drug", "known").join(own, "drug", "left").withColumn("_w", width).withColumn("p", F.coalesce("p", F.array().cast("array<int>")))
+    return coded.select("drug", F.concat(runs, zeros(F.col("_w") - last - 1)).alias(f"_{name}"), F.col("known").alias(f"_k{name}"))
 
 
 def feature_matrix(drugs: DataFrame, blocks: dict[str, DataFrame]) -> DataFrame:
-    """drug, features: each block's multi-hot values followed by its known flag, blocks in the order given."""
+    """drug, features: each block's multi-hot values followed by its known flag, blocks in the order given.
+
+    Items are numbered by a join, so a drug costs its own items and its row of values, whatever the vocabulary.
+    """
     out = drugs.select("drug").distinct()
     parts = []
     for name, block in blocks.items():
         if "items" in block.columns:
-            vocab = vocabulary(block).scalar()
-            coded = block.withColumn("_v", vocab).select(
-                "drug", F.transform("_v", lambda v: F.array_contains("items", v).cast("int")).alias(f"_{name}"), F.col("known").alias(f"_k{name}")
-            )
+            coded = _spread(block, name)
         else:
             coded = block.select("drug", F.col("flags").alias(f"_{name}"), F.col("known").alias(f"_k{name}"))
         out = out.join(coded, "drug", "left")
@@ -101,7 +112,8 @@ def feature_layout(blocks: dict[str, DataFrame]) -> DataFrame:
     rows = []
     for i, (name, block) in enumerate(blocks.items()):
         if "items" in block.columns:
-            rows.append(vocabulary(block).select(F.lit(i).alias("i"), F.lit(name).alias("block"), (F.size("vocabulary") + 1).alias("width")))
+            counted = block.select(F.explode("items").alias("item")).agg(F.count_distinct("item").cast("int").alias("w"))
+            rows.append(counted.select(F.lit(i).alias("i"), F.lit(name).alias("block"), (F.col("w") + 1).alias("width")))
         else:
             rows.append(block.agg(F.max(F.size("flags")).alias("w")).select(F.lit(i).alias("i"), F.lit(name).alias("block"), (F.col("w") + 1).alias("width")))
     widths = rows[0]

@@ -42,8 +42,8 @@ def affinity_profile(edges: DataFrame, order: str) -> DataFrame:
     )
 
 
-def gene_scores(expression: DataFrame, by: Sequence[str] = (), top: int = 5000) -> DataFrame:
-    """Per gene the largest probe spread, scaled by the largest score; the top genes per source.
+def gene_scores(expression: DataFrame, by: Sequence[str] = (), top: int | None = None) -> DataFrame:
+    """Per gene the largest probe spread, scaled by the largest score; if asked for, the ``top`` genes per source only.
 
     expression(by..., gene, probe, value): a probe with one value scores its absolute value.
     """
@@ -54,10 +54,13 @@ def gene_scores(expression: DataFrame, by: Sequence[str] = (), top: int = 5000)
     genes = probes.groupBy(*by, "gene").agg(F.max(spread).alias("score"))
     if not by:
         best = genes.agg(F.max("score")).scalar()
-        kept = genes.orderBy(F.desc("score"), F.asc("gene")).limit(top).withColumn("_m", best)
+        kept = (genes if top is None else genes.orderBy(F.desc("score"), F.asc("gene")).limit(top)).withColumn("_m", best)
     else:
-        order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("gene"))
-        ranked = genes.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top).drop("_rn")
+        if top is None:
+            ranked = genes
+        else:
+            order = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("gene"))
+            ranked = genes.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= top).drop("_rn")
         kept = ranked.join(genes.groupBy(*by).agg(F.max("score").alias("_m")), list(by))
     return kept.withColumn("score", F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(F.lit(0.0))).drop("_m")
 

@@ -189,7 +189,6 @@ def cold_start_groups(pairs: DataFrame, holdout: float = 0.15, seed: int = 42, a
     possible = {
         f: sizes[x] * (sizes[x] - 1) // 2 if x == y else sizes[x] * sizes[y] for f, (x, y) in FAMILIES.items()
     }
-    roles = drugs
     for attempt in range(attempts):
         roles = by_fraction(
             drugs, ["drug"], f"{seed}:{attempt}", {"s1_dev": sizes["s1_dev"] / n, "s1_test": sizes["s1_test"] / n},
@@ -199,8 +198,8 @@ def cold_start_groups(pairs: DataFrame, holdout: float = 0.15, seed: int = 42, a
         used = {r["f"]: r["n"] for r in tagged.groupBy(family(F.col("role_a"), F.col("role_b")).alias("f")).agg(
             F.count(F.lit(1)).alias("n")).collect()}
         if all(used.get(f, 0) == 0 or used[f] < possible[f] for f in FAMILIES):
-            break
-    return durable(roles)
+            return durable(roles)
+    raise ContractError(f"in {attempts} draws some family of pairs never had an unreported pair left")
 
 
 def cold_start_splits(

@@ -19,13 +19,18 @@ DEFAULTS = {
 
 
 def build_session(app_name: str = "doseweave", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators were planned for; a cluster's own values win over none of them."""
+    """A session with the settings the operators were planned for, where neither the caller nor the cluster sets others."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if key not in conf and not given.contains(key):
+            spark.conf.set(key, value)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -42,7 +47,7 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut lineage through a table in the shared checkpoint folder.
 
     A lost executor then reads files instead of replaying earlier steps, later uses read only the columns they need,
-    and the planner knows the table's size. The folder belongs to the session and is cleared with it by its owner.
+    and the planner knows the table's size. The tables lie below the application's id, for the folder's owner to clear.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{uuid4().hex}"
