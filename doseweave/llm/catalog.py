@@ -124,7 +124,8 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.fit(docs.filter(~language.held_out()))
-    return language.identified(docs, model, keep=["doc_id"]).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+    named = language.identified(docs, model, keep=["doc_id"])
+    return named.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "lang_rejected")
 
 
 NEAR_SQL = r"""

@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from doseweave.llm import catalog as llm_catalog
 from doseweave.llm import decontamination, html_extraction, language, licences, minhash, mixing, quality, secrets, suffix_dedup, token_files
 from doseweave.llm.entropy_coding import FrequencyTable, decode, encode
 from doseweave.llm.suffix_sorting import big_endian_words, equal_classes
@@ -53,6 +54,22 @@ def test_language(hard, nothing):
     assert language.identified(nothing, language.fit(nothing)).count() == 0
 
 
+def test_language_rejects_what_it_has_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = random.Random(11)
+    words = lambda n, low, high: " ".join("".join(chr(draw.randint(low, high)) for _ in range(draw.randint(3, 8))) for _ in range(n))
+    alphabets = [(97, 122), (0x430, 0x44F), (0x3B1, 0x3C9), (0x4E00, 0x9000)]
+    foreign = [words(n, *a) for a in alphabets for n in (6, 50, 1000, 5000, 30000)]
+    model = language.fit(docs.filter(~language.held_out()))
+    assert model.nearest(foreign)[2].all()
+    kept = language.identified(docs.filter(language.held_out()), model).filter(~F.col("lang_rejected"))
+    total, right = docs.filter(language.held_out()).count(), kept.filter("lang = lang_pred").count()
+    assert right >= 0.98 * total
+    english = " ".join(r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").limit(300).collect())
+    assert all(model.nearest([english[:n]])[0] == ["en"] and not model.nearest([english[:n]])[2][0] for n in (500, 5000, 300000))
+    assert "lang_rejected" in llm_catalog.op4_language_id(spark, "/root/testdata/sf0.001").columns
+
+
 def test_mixing(hard, nothing):
     rows = mixing.mixed(hard).collect()
     assert len(rows) == hard.count()
