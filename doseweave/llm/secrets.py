@@ -24,11 +24,16 @@ CLASSES = [
     ("entropy_alnum", r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]+$", 3.65),
     ("entropy_base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.85),
 ]
-#: Candidates that are no secrets: identifiers of known shape, paths, and words of samples.
+#: Candidates that are no secrets: identifiers of known shape and words of samples.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    r"|^[0-9-]+$|/.*/|(?i:example|sample|placeholder|changeme|dummy|xxxx)"
+    r"|^[0-9-]+$|(?i:example|sample|placeholder|changeme|dummy|xxxx)"
 )
+#: A candidate is a path, and no secret, if it has two slashes and so much of the rest stands in pieces of words and numbers.
+#: A slash alone says nothing, it is a character of base64.
+_WORD = r"(?:[A-Z]*|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[0-9]*|[A-Za-z]{0,4}[0-9]+)"
+PATH_PIECE = f"^{_WORD}(?:[_=+-]{_WORD})*$"
+PATH_SHARE = 0.8
 KINDS = ["assign", "access", "hex", *[name for name, _, _ in CLASSES]]
 SPAN = "array<struct<kind:int,s:bigint,e:bigint,text:string>>"
 
@@ -79,8 +84,14 @@ def high_entropy(text: Column, bound: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, advance, lambda done: F.struct(done["first"].alias("first"), done["last"].alias("last")))
 
 
+def is_path(text: Column) -> Column:
+    pieces = F.split(text, "/", -1)
+    worded = F.aggregate(F.filter(pieces, lambda x: x.rlike(PATH_PIECE)), F.lit(0), lambda n, x: n + F.length(x))
+    return text.rlike("/.*/") & (worded >= PATH_SHARE * (F.length(text) - F.size(pieces) + 1))
+
+
 def _entropy_spans(text: Column) -> Column:
-    candidates = F.filter(_places(text, CANDIDATE, 0), lambda x: ~x["text"].rlike(ALLOWED))
+    candidates = F.filter(_places(text, CANDIDATE, 0), lambda x: ~x["text"].rlike(ALLOWED) & ~is_path(x["text"]))
 
     def classed(x: Column) -> Column:
         kind, bound = F.lit(-1), F.lit(99.0)

@@ -1,5 +1,6 @@
 """The ten operators on small tables: hard rows, and brute force where SQL can't express them."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -218,6 +219,19 @@ def test_secrets(spark, hard, nothing):
     assert secrets.found_secrets(hard).count() == hard.count() and secrets.found_secrets(nothing).count() == 0
 
 
+def test_secrets_with_slashes(spark):
+    draw = random.Random(5)
+    keys = []
+    for size in (40, 64, 88, 344):
+        made = (base64.b64encode(draw.randbytes(size)).decode()[:size] for _ in range(10000))
+        keys += [next(k for k in made if k.count("/") >= least) for least in (2, 3)]
+    paths = ["home/user1/Projects/MyApp2/build/output", "/wp-content/uploads/2019/07/IMG_20190712/Final-v2", "Documents/2021/Report-Final_v2/Section3"]
+    texts = [f"key {k} end" for k in keys] + paths + ["keys/v1/prod/" + keys[0].replace("/", "")]
+    found = secrets.found_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id")
+    n = [r[0] for r in found.select(secrets.span_count(F.col("spans"), "entropy_base64")).collect()]
+    assert n == [1] * len(keys) + [0] * len(paths) + [1]
+
+
 def test_coding_round_trip():
     draw = np.random.default_rng(1)
     for n in (0, 1, 5, 1024, 200_001):
