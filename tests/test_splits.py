@@ -93,6 +93,19 @@ def test_shortage_is_an_error(spark):
         negatives.sample_unreported(full)
 
 
+def test_degree_matched_pairs_are_all_drawn(spark, monkeypatch):
+    """60 drugs that are all paired and 40 with one pair each: what is left among the 40 is rare in draws."""
+    hub = [(a, b) for a in range(60) for b in range(a)] + [(a, 60 + a) for a in range(40)]
+    pairs = spark.createDataFrame(hub, "drug_a long, drug_b long")
+    got = [tuple(r) for r in negatives.sample_unreported(pairs, 1.0, "degree_matched", 7).collect()]
+    assert len(set(got)) == len(got) == len(hub) and sum(a >= 60 for a, _ in got) < 60
+    everything = negatives.sample_unreported(pairs, 3140 / len(hub), "degree_matched", 7)
+    assert everything.distinct().count() == 3140
+    monkeypatch.setattr(negatives, "DRAWS_PER_PAIR", 8)
+    with pytest.raises(ContractError):
+        negatives.sample_unreported(pairs, 1.0, "degree_matched", 7)
+
+
 @pytest.mark.parametrize("strategy", ["uniform", "degree_matched"])
 def test_split_negatives_keep_roles_apart(spark, strategy):
     pairs = random_pairs(spark, 60, 500)
