@@ -275,5 +275,5 @@ def event_logistic_scores(t: Tables) -> DataFrame:
 def severity_forest_errors(t: Tables) -> DataFrame:
     features = array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(40)).alias("group"), features.alias("features"), (F.col("label") / 10.0).alias("target"))
-    out = learning.severity_forest(rows, "group", "target", seeds=(0, 1), folds=3, trees=5, depth=4)
+    out = learning.severity_forest(rows, "group", "target")
     return rounded(metrics.regression_metrics(out, "target", "prediction"), 3)

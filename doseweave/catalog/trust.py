@@ -163,12 +163,12 @@ def deployed_abstention(t: Tables) -> DataFrame:
 @query()
 def random_abstention_null(t: Tables) -> DataFrame:
     pairs = t.part.select(F.col("p_partkey").alias("pair_id"))
-    return rounded(conformal.random_abstention(grid(t), pairs, "pair_id", "event_idx", "label", "score", reps=4), 4)
+    return rounded(conformal.random_abstention(grid(t), pairs, "pair_id", "event_idx", "label", "score"), 4)
 
 
 @query()
 def abstention_gain_interval(t: Tables) -> DataFrame:
-    return rounded(resampling.abstention_gain(grid(t), reliability(t), "pair_id", "event_idx", "label", "score", 0.5, 8), 4)
+    return rounded(resampling.abstention_gain(grid(t), reliability(t), "pair_id", "event_idx", "label", "score", 0.5), 4)
 
 
 @query(
@@ -219,13 +219,13 @@ def bootstrap_replicate_weights(t: Tables) -> DataFrame:
 @query()
 def paired_bootstrap_difference(t: Tables) -> DataFrame:
     rows = scored_rows(t).withColumn("other", F.floor(F.col("score") * 5) / 5)
-    return rounded(resampling.paired_auroc_difference(rows, "label", "score", "other", ["row_id"], replicates=16))
+    return rounded(resampling.paired_auroc_difference(rows, "label", "score", "other", ["row_id"]))
 
 
 @query()
 def similarity_degradation(t: Tables) -> DataFrame:
     rows = scored_rows(t).withColumn("similarity", (F.col("row_id") % 97) / 97.0)
-    return rounded(resampling.degradation_bins(rows, "similarity", "label", "score", ["row_id"], 8))
+    return rounded(resampling.degradation_bins(rows, "similarity", "label", "score", ["row_id"]))
 
 
 TESTS_SQL = """WITH p AS (SELECT l_suppkey AS k, avg((l_returnflag = 'R')::INTEGER) / 40 AS p FROM lineitem GROUP BY 1),
@@ -276,7 +276,7 @@ def experiment_comparison(t: Tables) -> DataFrame:
 @query()
 def seed_summary(t: Tables) -> DataFrame:
     runs = study_runs(t).withColumn("input_sha256", F.sha2("split", 256))
-    return rounded(resampling.seed_summary(runs, ["macro_auroc", "macro_auprc"], ["input_sha256"], ["split", "features"], replicates=64))
+    return rounded(resampling.seed_summary(runs, ["macro_auroc", "macro_auprc"], ["input_sha256"], ["split", "features"]))
 
 
 @query(

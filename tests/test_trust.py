@@ -1,8 +1,12 @@
+import inspect
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from doseweave.operators import calibration, comparison, conformal, metrics, resampling
+from doseweave import catalog
+from doseweave.operators import calibration, comparison, conformal, learning, metrics, resampling
 
 
 def scored(n=1200, events=4, seed=0, slope=2.0):
@@ -138,3 +142,28 @@ def test_degradation_and_gain_run_on_planted_signal(spark):
     rel = spark.createDataFrame([(i, 1.0) for i in range(600)], "pair long, reliability double")
     gain = resampling.abstention_gain(spark.createDataFrame(pdf), rel, "pair", "event", "label", "score", 0.5, 6).head()
     assert abs(gain["gain"]) < 0.1
+
+
+@pytest.mark.parametrize("name, module, operator, sizes", [
+    ("random_abstention_null", conformal, "random_abstention", ["reps"]),
+    ("abstention_gain_interval", resampling, "abstention_gain", ["replicates"]),
+    ("paired_bootstrap_difference", resampling, "paired_auroc_difference", ["replicates"]),
+    ("similarity_degradation", resampling, "degradation_bins", ["replicates"]),
+    ("seed_summary", resampling, "seed_summary", ["replicates"]),
+    ("severity_forest_errors", learning, "severity_forest", ["seeds", "folds", "trees", "depth"]),
+])
+def test_queries_run_the_size_of_the_operator(spark, monkeypatch, name, module, operator, sizes):
+    class Called(Exception):
+        pass
+
+    signature = inspect.signature(getattr(module, operator))
+
+    def called(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called([bound.arguments[s] for s in sizes])
+
+    monkeypatch.setattr(module, operator, called)
+    with pytest.raises(Called) as seen:
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen.value.args[0] == [signature.parameters[s].default for s in sizes]
