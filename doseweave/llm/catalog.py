@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doseweave.llm import decontamination, html_extraction, language, licences, minhash, mixing, quality, secrets, suffix_dedup, token_files
+from doseweave.llm import (
+    decontamination, html_extraction, language, licences, minhash, mixing, phrase_mining, quality, ranked_search, secrets, suffix_dedup, token_files,
+    toxicity,
+)
 from doseweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +233,71 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extracted(table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, piece FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL)
+), split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang
+), grams AS (
+  SELECT lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM split, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size)
+), f AS MATERIALIZED (SELECT lang, size, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cand AS (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1
+), cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a + y.a))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.w, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.w, k + 1, c.size), ' ')
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, array_to_string(list_slice(w, i, i + s - 1), ' ') AS phrase, max(a) AS above
+  FROM (SELECT lang, w, a, s, unnest(range(1, size - s + 2)) AS i FROM cand, (VALUES (2), (3)) q(s) WHERE s < size) GROUP BY 1, 2
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank
+  FROM best b LEFT JOIN inside i USING (lang, phrase) WHERE above IS NULL OR 100 * above < 80 * a
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, folder, "documents"))
+
+
+SEARCH_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark
+), whole AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM d
+), m AS (SELECT doc_id, (25 + (75 * len(w) * docs) // terms)::BIGINT AS m FROM d, whole WHERE terms > 0
+), tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+), weight AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS wt FROM tf, whole GROUP BY t, docs
+), part AS (SELECT doc_id, t, wt * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s FROM tf JOIN m USING (doc_id) JOIN weight USING (t)
+), scores AS (
+  SELECT item_id, doc_id, sum(s)::BIGINT AS score
+  FROM (SELECT item_id, t, count(*) AS times FROM q GROUP BY ALL) JOIN (SELECT doc_id, t, s FROM part) USING (t), generate_series(1, times) g
+  GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query(SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.scored(docs, model, keep=["doc_id"]).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
