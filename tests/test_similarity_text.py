@@ -126,3 +126,22 @@ def test_weighted_imputation_is_gated_on_the_best_match(spark):
     got = {r["id"]: r for r in similarity.knn_weighted_impute(df, "value", "n", 0.7, 2).collect()}
     assert abs(got[3]["value"] - (0.75 * 6 + 0.4 * 2) / 1.15) < 1e-12 and got[3]["n"] == 3
     assert got[4]["value"] is None and got[4]["provenance"] == "unprofiled"
+
+
+@pytest.mark.parametrize("shard", [10_000, 12])
+def test_nearest_pairs_equal_brute_force(spark, monkeypatch, shard):
+    """In one shard and in many."""
+    monkeypatch.setattr(similarity, "REFERENCE_BLOCK", shard)
+    monkeypatch.setattr(similarity, "PAIR_BLOCK", 40)
+    drugs = dict(sets(40, 7, 3))
+    rng = np.random.default_rng(5)
+    draw = lambda n: sorted({tuple(sorted(int(x) for x in rng.choice(43, 2, replace=False))) for _ in range(n)})
+    asked, known = draw(150), draw(60)
+    drugs |= {90: [], 91: []}
+    known += [(0, 90)]
+    asked += [(90, 91), (1, 91)]
+    frames = [spark.createDataFrame([(a, b, f"{a}-{b}") for a, b in pairs], "drug_a long, drug_b long, id string") for pairs in (asked, known)]
+    table = spark.createDataFrame(list(drugs.items()), "id long, items array<int>")
+    got = {r["id"]: r["similarity"] for r in similarity.nearest_pairs(*frames, table).collect()}
+    want = {f"{a}-{b}": max(brute([*drugs[a], *drugs[b]], [*drugs[c], *drugs[d]]) for c, d in known) for a, b in asked}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
