@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.catalog.evaluation import rounded
-from doseweave.catalog.pairs import partitions, supplier_table, train_pairs
+from doseweave.catalog.pairs import VOCAB_SQL, partitions, supplier_table, train_pairs
 from doseweave.catalog.registry import Tables, query
 from doseweave.functions import numeric
 from doseweave.operators import blocks, events, learning, metrics, ranking
@@ -248,27 +248,53 @@ def event_pairs(t: Tables) -> tuple[events.EventTable, DataFrame]:
     table = supplier_table(t)
     names = table.drugs.select("drug_idx", F.substring("smiles", 2, 20).cast("long").alias("drug"))
     feats = supplier_features(t).join(names, "drug").select(F.col("drug_idx").alias("drug"), "features")
-    rows = learning.pair_vectors(table.pairs, feats).join(partitions(table), "pair_id")
+    rows = learning.pair_rows(table.pairs, feats).join(partitions(table), "pair_id")
     return table, rows
 
 
-@query()
-def pair_logistic_auroc(t: Tables) -> DataFrame:
-    """A pair classifier for one event, trained on seen pairs and ranked per partition."""
+#: Three symmetric features per supplier feature.
+PAIR_WIDTH = 48
+
+
+@query(VOCAB_SQL + "SELECT (SELECT count(*) FROM train) AS n, (SELECT count(*) FROM labels_ SEMI JOIN train USING (pair_id) WHERE event_idx = 0) AS positives, round((SELECT count(*) FROM labels_ SEMI JOIN train USING (pair_id) WHERE event_idx = 0)::DOUBLE / (SELECT count(*) FROM train), 3) AS mean_score, TRUE AS converged")
+def pair_logistic_balance(t: Tables) -> DataFrame:
+    """At the optimum the training scores of a model with a free intercept add up to the positives."""
+    scored, model = labelled_pairs(t)
+    train = scored.filter("partition = 'train'")
+    return train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("positives"), F.round(F.avg("score"), 3).alias("mean_score")).withColumn(
+        "converged", F.lit(bool(model.converged.all())))
+
+
+def labelled_pairs(t: Tables):
     table, rows = event_pairs(t)
     ones = table.labels.filter("event_idx = 0").select("pair_id", F.lit(1).alias("label")).distinct()
     labelled = rows.join(ones, "pair_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    model = learning.fit_pair_logistic(labelled.filter("partition = 'train'"), iters=10)
-    return rounded(ranking.auroc(learning.predict_probability(model, labelled), "label", "score", ["partition"]), 3)
+    return learning.pair_logistic(labelled, PAIR_WIDTH)
 
 
 @query()
+def pair_logistic_auroc(t: Tables) -> DataFrame:
+    """A pair classifier for one event, trained on seen pairs and ranked per partition."""
+    return rounded(ranking.auroc(labelled_pairs(t)[0], "label", "score", ["partition"]), 3)
+
+
+@query(
+    VOCAB_SQL + "SELECT event_idx, (SELECT count(*) FROM prs) AS n, train_pos, 0.5::DOUBLE AS weighted_score FROM head"
+)
 def event_logistic_scores(t: Tables) -> DataFrame:
+    """All events of the vocabulary. A positive weighs negatives / positives, so at the optimum the weighted mean score is a half."""
     table, rows = event_pairs(t)
     vocabulary = events.pos_weights(events.freeze_vocabulary(table.labels, train_pairs(table), min_pos=20))
     prior = events.frequency_prior(table.labels, train_pairs(table), vocabulary)
-    scores = learning.event_logistic(rows.select("pair_id", "partition", "features"), table.labels, vocabulary, prior, iters=5)
-    return rounded(scores.groupBy("event_idx").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), 3)
+    scores = learning.event_logistic(rows, table.labels, vocabulary, prior, PAIR_WIDTH)
+    seen = scores.join(rows.select("pair_id", "partition"), "pair_id").join(
+        table.labels.select("pair_id", F.col("event_idx").cast("long").alias("event_idx"), F.lit(1).alias("y")), ["pair_id", "event_idx"], "left")
+    seen = seen.join(vocabulary.select("event_idx", "pos_weight"), "event_idx")
+    train, positive = F.col("partition") == "train", F.col("y").isNotNull()
+    weight = F.when(train, F.when(positive, F.col("pos_weight")).otherwise(1.0))
+    return seen.groupBy("event_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(train & positive).alias("train_pos"),
+        F.round(F.sum(weight * F.col("score")) / F.sum(weight), 3).alias("weighted_score"))
 
 
 @query()

@@ -258,13 +258,24 @@ def study_runs(t: Tables) -> DataFrame:
         F.avg(F.col("l_extendedprice") / 100000 + F.col("l_discount")).alias("macro_auroc"), F.avg("l_tax").alias("macro_auprc"))
 
 
+#: Student's tail at six degrees of freedom in closed form, and the signed-rank sums of all sign patterns.
+TESTS_SQL = RUNS_SQL + """, th AS (SELECT split, features, atan(abs(avg(d) / (stddev_samp(d) / sqrt(count(*)))) / sqrt(6)) AS th FROM d GROUP BY 1, 2),
+tails AS (SELECT split, features, greatest(0, 1 - sin(th) * (1 + cos(th) ** 2 / 2 + 3 * cos(th) ** 4 / 8)) AS p_t FROM th),
+rk AS (SELECT split, features, d, row_number() OVER (PARTITION BY split, features ORDER BY abs(d)) - 1 AS i, rank() OVER (PARTITION BY split, features ORDER BY abs(d)) + (count(*) OVER (PARTITION BY split, features, abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+seen_ AS (SELECT split, features, least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0)) AS w, count(*) AS n FROM (SELECT split, features, d, r FROM rk UNION ALL SELECT DISTINCT split, features, s, 0 FROM rk, (VALUES (1), (-1)) v(s)) GROUP BY 1, 2),
+sums AS (SELECT split, features, m, sum(CASE WHEN (m >> i) & 1 = 1 THEN r ELSE 0 END) AS s FROM rk, range(128) x(m) GROUP BY 1, 2, 3),
+signed AS (SELECT split, features, least(1, 2 * count(*) FILTER (WHERE s <= w) / 128.0) AS p_w FROM sums JOIN seen_ USING (split, features) GROUP BY 1, 2)
+"""
+
+
 @query(
-    RUNS_SQL + """SELECT split, features, count(*) AS n_seeds, round(avg(base), 6) AS baseline_mean, round(avg(cand), 6) AS candidate_mean, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS sd_diff,
-  count(*) FILTER (WHERE d > 0) AS n_improved, round(avg(d) - 2.446911851 * stddev_samp(d) / sqrt(count(*)), 6) AS ci_low, round(avg(d) + 2.446911851 * stddev_samp(d) / sqrt(count(*)), 6) AS ci_high FROM d GROUP BY 1, 2"""
+    TESTS_SQL + """SELECT split, features, count(*) AS n_seeds, round(avg(base), 6) AS baseline_mean, round(avg(cand), 6) AS candidate_mean, round(avg(d), 6) AS mean_diff, round(stddev_samp(d), 6) AS sd_diff,
+  count(*) FILTER (WHERE d > 0) AS n_improved, round(avg(d) - 2.446911851 * stddev_samp(d) / sqrt(count(*)), 6) AS ci_low, round(avg(d) + 2.446911851 * stddev_samp(d) / sqrt(count(*)), 6) AS ci_high,
+  round(max(p_t), 6) AS p_t, round(max(p_w), 6) AS p_wilcoxon FROM d JOIN tails USING (split, features) JOIN signed USING (split, features) GROUP BY 1, 2"""
 )
 def paired_seed_comparison(t: Tables) -> DataFrame:
     out = resampling.paired_seed_comparison(study_runs(t), "macro_auroc", "A", ["split"])
-    return rounded(out.drop("p_t", "p_wilcoxon"))
+    return rounded(out)
 
 
 @query()

@@ -1,66 +1,213 @@
-"""Data-parallel learners on Spark ML: pair and event logistic models and the severity forest."""
+"""Data-parallel learners: logistic heads fitted together, and the severity forest."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.functions.numeric import pair_features
 from doseweave.operators.splits import group_folds
+from doseweave.session import durable
 
+#: Past steps that shape the next one; largest gradient of a head that has converged; cells (heads times coefficients) of a fit.
+MEMORY, TOLERANCE, MODEL_CELLS = 10, 1e-6, 1 << 22
 
-def bits_to_vector(bits: Column, size: int) -> Column:
-    """On-bit positions to a dense 0/1 vector column of a fixed size."""
-    hot = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(bits, i).cast("double"))
-    return array_to_vector(hot)
 
+def bit_pair_features(bits_a: Column, bits_b: Column, size: int) -> tuple[Column, Column]:
+    """Sparse symmetric features of two sets of on-bit positions: (indices, values). Bits of both come first, then bits of one."""
+    both = F.transform(F.array_intersect(bits_a, bits_b), lambda i: i.cast("int"))
+    one = F.transform(F.array_except(F.array_union(bits_a, bits_b), F.array_intersect(bits_a, bits_b)), lambda i: (i + size).cast("int"))
+    indices = F.concat(both, one)
+    return indices, F.transform(indices, lambda _: F.lit(1.0))
 
-def pair_vectors(pairs: DataFrame, features: DataFrame, mode: str = "symmetric") -> DataFrame:
-    """pairs(drug_a, drug_b, ...) x features(drug, features array): a symmetric pair feature vector."""
+
+def dense_pair_features(a: Column, b: Column, mode: str = "symmetric") -> tuple[Column, Column]:
+    """The nonzero symmetric features of two arrays of numbers: (indices, values)."""
+    made = F.transform(pair_features(a, b, mode), lambda x, i: F.struct(i.cast("int").alias("i"), x.cast("double").alias("x")))
+    kept = F.filter(made, lambda f: f["x"] != 0)
+    return F.transform(kept, lambda f: f["i"]), F.transform(kept, lambda f: f["x"])
+
+
+def pair_rows(pairs: DataFrame, features: DataFrame, mode: str = "symmetric", bits: int | None = None) -> DataFrame:
+    """pairs(drug_a, drug_b, ...) x features(drug, features) with sparse ``indices`` and ``values``; with ``bits``, features are
+    on-bit positions below it."""
     out = pairs
     for side in ("a", "b"):
-        out = out.join(features.select(F.col("drug").alias(f"drug_{side}"), F.transform("features", lambda x: x.cast("double")).alias(f"_f{side}")), f"drug_{side}")
-    return out.withColumn("features", array_to_vector(pair_features(F.col("_fa"), F.col("_fb"), mode))).drop("_fa", "_fb")
-
-
-def fit_pair_logistic(rows: DataFrame, label: str = "label", reg: float = 1e-3, iters: int = 50, weight: str | None = None):
-    model = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=iters, regParam=reg, **({"weightCol": weight} if weight else {}))
-    return model.fit(rows.withColumn("_label", F.col(label).cast("double")))
-
-
-def predict_probability(model, rows: DataFrame, out: str = "score") -> DataFrame:
-    scored = model.transform(rows).withColumn(out, vector_to_array("probability")[1])
-    return scored.drop("rawPrediction", "probability", "prediction")
-
-
-def event_logistic(rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, iters: int = 25) -> DataFrame:
-    """rows(pair_id, partition, features) to pair_id, event_idx, score: one weighted fit per event of the vocabulary,
-    the training prior elsewhere. The frozen vocabulary is small by contract; its heads are the driver's loop."""
-    weights = {r["event_idx"]: r["pos_weight"] for r in vocabulary.orderBy("event_idx").select("event_idx", "pos_weight").collect()}
-    chosen = list(weights)
-    train = rows.filter("partition = 'train'").cache()
-    parts = []
-    for event in chosen:
-        ones = labels.filter(F.col("event_idx") == event).select("pair_id", F.lit(1).alias("label")).distinct()
-        labelled = train.join(ones, "pair_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-        weighted = labelled.withColumn("_w", F.when(F.col("label") == 1, float(weights[event])).otherwise(1.0))
-        model = fit_pair_logistic(weighted, iters=iters, weight="_w")
-        parts.append(predict_probability(model, rows).select("pair_id", F.lit(event).alias("event_idx"), "score"))
-    rest = prior.filter(~F.col("event_idx").isin(chosen))
-    base = rest.agg(F.collect_list(F.struct("event_idx", "prior"))).scalar()
-    filled = rows.select("pair_id").withColumn("_p", base).select("pair_id", F.explode("_p").alias("p")).select(
-        "pair_id", F.col("p.event_idx").alias("event_idx"), F.col("p.prior").alias("score"))
-    out = filled
-    for part in parts:
-        out = out.unionByName(part.withColumn("event_idx", F.col("event_idx").cast("long")))
+        out = out.join(features.select(F.col("drug").alias(f"drug_{side}"), F.col("features").alias(f"_f{side}")), f"drug_{side}")
+    a, b = F.col("_fa"), F.col("_fb")
+    indices, values = dense_pair_features(a, b, mode) if bits is None else bit_pair_features(a, b, bits)
+    return out.withColumns({"indices": indices, "values": values}).drop("_fa", "_fb")
+
+
+@dataclass
+class Heads:
+    """One logistic model per head: rows of coefficients, the intercept last; largest gradient; whether it has converged."""
+
+    coefficients: np.ndarray
+    gradient: np.ndarray
+    converged: np.ndarray
+
+    def log_odds(self, indices: list, values: list) -> np.ndarray:
+        return _product(indices, values, self.coefficients)
+
+
+def _sparse(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, indices), np.int64, len(indices))
+    if not sizes.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.repeat(np.arange(len(indices)), sizes), np.concatenate([np.asarray(x, np.int64) for x in indices if len(x)]), np.concatenate(
+        [np.asarray(x, float) for x in values if len(x)])
+
+
+def _product(indices: list, values: list, coefficients: np.ndarray) -> np.ndarray:
+    """Log odds (rows x heads): rows that are sparse times coefficients."""
+    row, at, x = _sparse(indices, values)
+    out = np.tile(coefficients[:, -1], (len(indices), 1))
+    for head in range(len(coefficients)):
+        out[:, head] += np.bincount(row, x * coefficients[head, at], len(indices))
     return out
 
 
+def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Loss and gradient of all heads over a task's rows, as (cell, value); a head's last two cells are its loss and weight."""
+    heads, width = coefficients.shape
+    total = np.zeros((heads, width + 2))
+    for batch in batches:
+        indices, values, ones = (batch.column(i).to_pylist() for i in range(3))
+        z = _product(indices, values, coefficients)
+        y = np.zeros_like(z)
+        for i, own in enumerate(ones):
+            y[i, own] = 1.0
+        w = np.where(y == 1, weights[None, :], 1.0)
+        with np.errstate(over="ignore"):
+            error = w * (1 / (1 + np.exp(-z)) - y)
+        row, at, x = _sparse(indices, values)
+        for head in range(heads):
+            total[head, : width - 1] += np.bincount(at, x * error[row, head], width - 1)[: width - 1]
+        total[:, width - 1] += error.sum(axis=0)
+        total[:, width] += (w * (np.logaddexp(0, z) - y * z)).sum(axis=0)
+        total[:, width + 1] += w.sum(axis=0)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], names=["cell", "value"])
+
+
+def fit_heads(rows: DataFrame, heads: int, width: int, weights: Sequence[float], reg: float = 1e-3, steps: int = 100) -> Heads:
+    """Logistic models of all heads at once: rows(indices, values, ones), ``ones`` being the heads whose label is 1.
+
+    Minimises each head's weighted mean loss plus ``reg`` / 2 times its squared coefficients (not the intercept), a row of label 1
+    weighing ``weights[head]``, by limited-memory quasi-Newton steps. A step is one pass over the rows: every head has its own
+    step length, halved where the loss didn't fall enough. Stops when all heads have converged, or after ``steps``; which have is
+    returned. Only sums by coefficient leave the tasks, so a fit is bounded by heads x width, which must not pass ``MODEL_CELLS``.
+    """
+    if heads * (width + 1) > MODEL_CELLS:
+        raise ValueError(f"{heads} heads of {width} coefficients are more than a fit holds.")
+    table = durable(rows.select(F.transform("indices", lambda i: i.cast("int")).alias("indices"), F.transform("values", lambda x: x.cast("double")).alias("values"), "ones"))
+    weight = np.asarray(weights, float)
+
+    def evaluate(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sums = table.mapInArrow(lambda batches: _slopes(batches, beta, weight), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        total = np.zeros(heads * (width + 3))
+        for r in sums.collect():
+            total[r.cell] = r.value
+        total = total.reshape(heads, width + 3)
+        mass = np.maximum(total[:, -1:], 1e-300)
+        penalised = beta * (np.arange(width + 1) < width)
+        return total[:, -2] / mass[:, 0] + 0.5 * reg * (penalised**2).sum(axis=1), total[:, :-2] / mass + reg * penalised
+
+    beta = np.zeros((heads, width + 1))
+    loss, slope = evaluate(beta)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    length = np.ones(heads)
+    direction = -slope
+    for _ in range(steps):
+        done = np.abs(slope).max(axis=1) <= TOLERANCE
+        if done.all():
+            break
+        trial = beta + np.where(done, 0.0, length)[:, None] * direction
+        new_loss, new_slope = evaluate(trial)
+        fell = new_loss <= loss + 1e-4 * length * (slope * direction).sum(axis=1) + 1e-15
+        accepted = fell & ~done
+        moved = np.where(accepted[:, None], trial - beta, 0.0)
+        turned = np.where(accepted[:, None], new_slope - slope, 0.0)
+        past = [*past, (moved, turned)][-MEMORY:]
+        beta, loss, slope = np.where(accepted[:, None], trial, beta), np.where(accepted, new_loss, loss), np.where(accepted[:, None], new_slope, slope)
+        fresh = _direction(slope, past)
+        direction = np.where(accepted[:, None], fresh, direction)
+        length = np.where(accepted, 1.0, length / 2)
+    size = np.abs(slope).max(axis=1)
+    return Heads(beta, size, size <= TOLERANCE)
+
+
+def _direction(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The two-loop recursion for all heads; a pair of changes without positive curvature is left out for its head."""
+    q, kept = slope.copy(), []
+    for moved, turned in reversed(past):
+        curve = (moved * turned).sum(axis=1)
+        use = curve > 1e-18
+        rate = np.where(use, (moved * q).sum(axis=1) / np.where(use, curve, 1.0), 0.0)
+        q -= rate[:, None] * turned
+        kept.append((moved, turned, curve, use, rate))
+    scale, found = np.ones(len(slope)), np.zeros(len(slope), bool)
+    for _, turned, curve, use, _ in kept:
+        fresh = use & ~found
+        scale = np.where(fresh, curve / np.maximum((turned**2).sum(axis=1), 1e-300), scale)
+        found |= use
+    q *= scale[:, None]
+    for moved, turned, curve, use, rate in reversed(kept):
+        back = np.where(use, (turned * q).sum(axis=1) / np.where(use, curve, 1.0), 0.0)
+        q += np.where(use, rate - back, 0.0)[:, None] * moved
+    return -q
+
+
+def head_scores(rows: DataFrame, model: Heads, names: Sequence[int], keep: Sequence[str], name: str = "event_idx") -> DataFrame:
+    """``keep`` columns, the head's name and its probability: one row per row and head."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    labels = np.asarray(list(names), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = 1 / (1 + np.exp(-np.clip(shared.value.log_odds(batch.column(0).to_pylist(), batch.column(1).to_pylist()), -700, 700)))
+            place = pa.array(np.repeat(np.arange(len(batch)), len(labels)))
+            columns = [batch.column(2 + i).take(place) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(labels, len(batch))), pa.array(score.ravel())], names=[*keep, name, "score"])
+
+    types = dict(rows.dtypes)
+    return rows.select("indices", "values", *keep).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"{name} long", "score double"]))
+
+
+def pair_logistic(rows: DataFrame, width: int, label: str = "label", train: str = "partition = 'train'", reg: float = 1e-3, steps: int = 100) -> tuple[DataFrame, Heads]:
+    """rows(indices, values, label, ...) with a ``score`` from a model of the training rows; and the model."""
+    ones = F.when(F.col(label) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("ones")
+    model = fit_heads(rows.filter(train).select("indices", "values", ones), 1, width, [1.0], reg, steps)
+    keep = [c for c in rows.columns if c not in ("indices", "values")]
+    return head_scores(rows, model, [0], keep, "_head").drop("_head"), model
+
+
+def event_logistic(
+    rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, width: int, reg: float = 1e-3, steps: int = 100
+) -> DataFrame:
+    """rows(pair_id, partition, indices, values) to pair_id, event_idx, score: a weighted head per event of the vocabulary, all
+    fitted together, the training prior elsewhere. The vocabulary is small by contract: heads x ``width`` is the model's size."""
+    chosen = vocabulary.select(F.col("event_idx").cast("long").alias("event_idx"), F.col("pos_weight").cast("double").alias("pos_weight")).orderBy("event_idx").collect()
+    known = prior.join(vocabulary.select("event_idx"), "event_idx", "left_anti")
+    base = known.agg(F.collect_list(F.struct(F.col("event_idx").cast("long").alias("event_idx"), F.col("prior").alias("score")))).scalar()
+    filled = rows.select("pair_id", F.explode(base).alias("p")).select("pair_id", "p.event_idx", "p.score")
+    if not chosen:
+        return filled
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(chosen) for x in (r.event_idx, i)])
+    ones = labels.select("pair_id", F.element_at(place, F.col("event_idx").cast("long")).alias("head")).filter("head IS NOT NULL")
+    ones = ones.groupBy("pair_id").agg(F.collect_set("head").alias("ones"))
+    train = rows.filter("partition = 'train'").join(ones, "pair_id", "left").withColumn("ones", F.coalesce("ones", F.array().cast("array<int>")))
+    model = fit_heads(train, len(chosen), width, [r.pos_weight for r in chosen], reg, steps)
+    return filled.unionByName(head_scores(rows, model, [r.event_idx for r in chosen], ["pair_id"]))
+
+
 def severity_forest(rows: DataFrame, group: str, target: str, seeds: Sequence[int] = (0, 1, 2, 3, 4), folds: int = 5, trees: int = 20,
                     depth: int = 5, grid: Sequence[int] | None = None, key: str = "id") -> DataFrame:
     """rows(id, group, features, target) to out-of-fold predictions: mean of the seeds, clipped to [0, 1].

@@ -6,10 +6,8 @@ from collections.abc import Sequence
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from doseweave.functions.numeric import clip
 from doseweave.operators.ranking import average_rank, ranking_metrics, youden_threshold
@@ -203,9 +201,20 @@ def regression_metrics(rows: DataFrame, truth: str, pred: str, n_col: str | None
     return base.withColumns({"r2": 1 - F.col("_sse") / F.nullif(F.col("_sst"), F.lit(0.0)), "spearman": rho}).drop("_sse", "_sst")
 
 
-@F.pandas_udf(T.DoubleType())
-def _log_gamma(x: pd.Series) -> pd.Series:
-    return x.map(math.lgamma)
+#: Coefficients B(2k) / (2k (2k - 1)) of the Stirling series, k from 1, and the argument from which it is exact in doubles.
+STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360, 1 / 156]
+STIRLING_FROM = 10
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a positive number: the Stirling series after a shift of ``STIRLING_FROM``."""
+    shift = F.when(x < STIRLING_FROM, F.lit(float(STIRLING_FROM))).otherwise(0.0)
+    product = F.aggregate(F.sequence(F.lit(0), F.lit(STIRLING_FROM - 1)), F.lit(1.0), lambda p, i: p * F.when(x < STIRLING_FROM, x + i).otherwise(1.0))
+    z = x + shift
+    series = F.lit(0.0)
+    for c in reversed(STIRLING):
+        series = series / (z * z) + F.lit(c)
+    return (z - 0.5) * F.log(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + series / z - F.log(product)
 
 
 def beta_binomial_nll(rows: DataFrame, k: str, n: str, mean: str, precision: str) -> DataFrame:
@@ -216,7 +225,7 @@ def beta_binomial_nll(rows: DataFrame, k: str, n: str, mean: str, precision: str
         (nn + 1, 1), (kk + 1, -1), (nn - kk + 1, -1), (kk + alpha, 1), (nn - kk + beta, 1), (nn + alpha + beta, -1),
         (alpha + beta, 1), (alpha, -1), (beta, -1),
     ]
-    wide = rows.select(*[_log_gamma(x.cast("double")).alias(f"g{i}") for i, (x, _) in enumerate(terms)])
+    wide = rows.select(*[log_gamma(x.cast("double")).alias(f"g{i}") for i, (x, _) in enumerate(terms)])
     log_likelihood = sum((F.col(f"g{i}") * sign for i, (_, sign) in enumerate(terms)), F.lit(0.0))
     return wide.agg(F.count(F.lit(1)).alias("n"), (-F.avg(log_likelihood)).alias("nll"))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from math import exp, factorial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -194,27 +195,23 @@ def bh_adjust(tests: DataFrame, p: str, by: Sequence[str] = (), out: str = "q_va
 
 
 def signed_rank_p(differences: Sequence[float]) -> float | None:
-    """Exact two-sided Wilcoxon p over all sign patterns, for the tens of seeds of a study; None without a nonzero
-    difference. Beyond forty the normal approximation answers."""
-    values = [d for d in differences if d != 0 and d == d]
-    n = len(values)
-    if n == 0:
+    """Exact two-sided Wilcoxon p over all sign patterns, ties included, at every length; None without a nonzero difference.
+
+    Doubled ranks are whole numbers, so the null distribution is an array of shares by rank sum: each rank either joins the sum
+    or doesn't. That is n additions of arrays of n (n + 1) cells.
+    """
+    values = np.array([d for d in differences if d != 0 and d == d], float)
+    if not len(values):
         return None
-    ranks = pd.Series([abs(v) for v in values]).rank().tolist()
-    observed = min(sum(r for r, v in zip(ranks, values, strict=True) if v > 0), sum(r for r, v in zip(ranks, values, strict=True) if v < 0))
-    if n <= 40:
-        counts: dict[float, int] = {0.0: 1}
-        for r in ranks:
-            step = dict(counts)
-            for total, c in counts.items():
-                step[total + r] = step.get(total + r, 0) + c
-            counts = step
-        below = sum(c for total, c in counts.items() if total <= observed)
-        return min(1.0, 2 * below / 2**n)
-    from statistics import NormalDist
-
-    mean, sd = n * (n + 1) / 4, (n * (n + 1) * (2 * n + 1) / 24) ** 0.5
-    return min(1.0, 2 * NormalDist().cdf((observed - mean) / sd))
+    doubled = (2 * pd.Series(np.abs(values)).rank()).round().astype(int).to_numpy()
+    observed = int(min(doubled[values > 0].sum(), doubled[values < 0].sum()))
+    share = np.zeros(int(doubled.sum()) + 1)
+    share[0] = 1.0
+    for rank in doubled:
+        joined = np.zeros_like(share)
+        joined[rank:] = share[:-rank]
+        share = (share + joined) / 2
+    return min(1.0, 2 * float(share[: observed + 1].sum()))
 
 
 def _t_tail(t: float, df: int) -> float:
