@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from doseweave.session import checkpoint_dir, durable
 
-__all__ = ["carried", "checkpoint_dir", "durable", "map_texts", "pieces", "table"]
+__all__ = ["carried", "checkpoint_dir", "durable", "map_texts", "pieces", "table", "with_texts"]
 
 #: Bytes of text that one vectorised step inside a task works on.
 PIECE_BYTES = 4 << 20
@@ -68,3 +68,26 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(passed + arrays, names=kept + names)
 
     return source.mapInArrow(run, schema)
+
+
+def with_texts(
+    df: DataFrame, work: Callable[[], Callable[[list[bytes]], dict[str, list]]], added: str, name: str, text: str = "text", piece: int = PIECE_BYTES
+) -> DataFrame:
+    """Adds a struct column ``name`` of the fields ``added``, computed from whole texts.
+
+    Like ``map_texts``, but only the text goes to Python and only what is made of it comes back: the other columns stay in
+    the JVM, so a row's text is sent once.
+    """
+    extra = StructType.fromDDL(added)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step, types = work(), to_arrow_schema(extra)
+        for column in columns:
+            lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+            parts = []
+            for start, end in pieces(lengths, piece):
+                made = step([x or b"" for x in column.slice(start, end - start).to_pylist()])
+                parts.append(pa.StructArray.from_arrays([pa.array(made[f.name], type=f.type) for f in types], fields=list(types)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(types)))
+
+    return df.withColumn(name, F.arrow_udf(run, extra)(F.col(f"`{text}`").cast("binary")))

@@ -5,7 +5,8 @@ documents. Its suffixes are sorted to the depth of a window; every suffix of eve
 this array by binary search, and the interval it falls on is all its places, in all documents of the shard. Suffixes
 that leave the benchmark's vocabulary before the shortest window ends can't match and aren't sorted.
 
-The benchmark comes in blocks of bounded size, each broadcast for one pass; documents aren't shuffled.
+The benchmark comes in blocks of bounded size, each a broadcast of its own; one pass over the texts looks into several of
+them. A text goes to Python once per pass and never comes back; documents aren't shuffled.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
-from itertools import repeat
+from itertools import batched, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doseweave.llm.common import map_texts
+from doseweave.llm.common import with_texts
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
-#: Bytes of benchmark text per broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text per broadcast block, and blocks of a pass.
+BLOCK_BYTES = 1 << 20
+PASS_BLOCKS = 8
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -38,27 +39,41 @@ class Suffixes:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
-        number, places = self.vocabulary, defaultdict(set)
-        steps = set()
+        self.names = sorted({item for item, _ in items})
+        number, place = self.vocabulary, {name: i for i, name in enumerate(self.names)}
+        keys, lengths, owners, follows = [np.zeros(0, f"S{4 * window}")], [], [], []
         for item, text in items:
-            ids = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
-            length, before = min(window, len(ids)), None
-            for i in range(len(ids) - length + 1 if ids else 0):
-                key = tuple(ids[i : i + length])
-                places[key].add(item)
-                if before:
-                    steps.add((before, key))
-                before = key
-        keys = list(places)
-        self.items = [sorted(places[k]) for k in keys]
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        low = np.zeros((len(keys), window), ">u4")
-        high = np.full((len(keys), window), 0xFFFFFFFF, ">u4")
-        for row, key in enumerate(keys):
-            low[row, : len(key)] = high[row, : len(key)] = key
-        self.low, self.high = _rows(low), _rows(high)
-        row = {k: i for i, k in enumerate(keys)}
-        self.steps = np.sort(np.array([row[a] * len(keys) + row[b] for a, b in steps], np.int64))
+            ids = np.array([number.setdefault(w, len(number) + 1) for w in words_of(text)], np.int64)
+            if not len(ids):
+                continue
+            length = min(window, len(ids))
+            grid = np.zeros((len(ids) - length + 1, window), ">u4")
+            grid[:, :length] = np.lib.stride_tricks.sliding_window_view(ids, length)
+            keys.append(_rows(grid))
+            lengths += [length] * len(grid)
+            owners += [place[item]] * len(grid)
+            follows += [False] + [True] * (len(grid) - 1)
+        self.low, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = len(self.low)
+        self.lengths = np.array(lengths, np.int64)[first]
+        # Words after the end of a short window may be anything.
+        self.short = np.flatnonzero(self.lengths < window)
+        high = self.low[self.short].view(">u4").reshape(-1, window).copy() if len(self.short) else np.zeros((0, window), ">u4")
+        high[high == 0] = 0xFFFFFFFF
+        self.high = _rows(high)
+        pairs = np.unique(at * max(len(self.names), 1) + np.array(owners, np.int64)) if count else np.zeros(0, np.int64)
+        self.held, self.item = np.divmod(pairs, max(len(self.names), 1))
+        self.begin = np.searchsorted(self.held, np.arange(count + 1))
+        after = np.flatnonzero(np.array(follows, bool))
+        self.steps = np.unique(at[after - 1] * count + at[after]) if count else np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Sorted names of the items that hold any of the windows."""
+        found = [self.item[self.begin[w] : self.begin[w + 1]] for w in np.unique(windows)]
+        return [self.names[i] for i in np.unique(np.concatenate(found))] if found else []
 
 
 def _rows(grid: np.ndarray) -> np.ndarray:
@@ -76,7 +91,7 @@ def shard_matches(texts: list[bytes], tests: Suffixes):
     counts = np.array(counts, np.int64)
     starts = np.cumsum(counts + 1) - counts - 1
     none = np.zeros(0, np.int64)
-    if not len(tests.items) or not counts.sum():
+    if not len(tests) or not counts.sum():
         return counts, starts, none, none
     ids = np.concatenate([*parts, np.zeros(tests.window, np.int64)])
     gaps = np.flatnonzero(ids == 0)
@@ -87,7 +102,9 @@ def shard_matches(texts: list[bytes], tests: Suffixes):
     order = np.argsort(keys, kind="stable")
     array = keys[order]
     first = np.searchsorted(array, tests.low, "left")
-    found = np.searchsorted(array, tests.high, "right") - first
+    last = np.searchsorted(array, tests.low, "right")
+    last[tests.short] = np.searchsorted(array, tests.high, "right")
+    found = last - first
     window = np.repeat(np.arange(len(found)), found)
     inside = np.arange(len(window)) - np.repeat(np.cumsum(found) - found, found)
     return counts, starts, known[order[first[window] + inside]], window
@@ -109,7 +126,7 @@ def _longest(place: np.ndarray, window: np.ndarray, tests: Suffixes) -> int:
     best = int(tests.lengths[window].max())
     place, window = place[full], window[full]
     if len(place):
-        step = window[:-1] * len(tests.items) + window[1:]
+        step = window[:-1] * len(tests) + window[1:]
         at = np.minimum(np.searchsorted(tests.steps, step), max(len(tests.steps) - 1, 0))
         linked = (np.diff(place) == 1) & ((tests.steps[at] == step) if len(tests.steps) else False)
         breaks = np.flatnonzero(np.r_[True, ~linked, True])
@@ -142,42 +159,20 @@ def benchmark_hits(
     benchmark gives no hits. Columns of ``docs`` with the added names are replaced.
     """
     context = docs.sparkSession.sparkContext
-    added = "n_words long, n_hit long, hit_starts array<long>, hit_ends array<long>, hit_items array<string>, longest long"
-    found = docs
-    for block, tests in enumerate(_blocks(bench, block_bytes, window)):
-        shared = context.broadcast(tests)
+    names = {"n_words", "n_hit", "hit_starts", "hit_ends", "hit_items", "longest"}
+    wanted = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names and not c.startswith("_")]
+    found = docs.select(*[f"`{c}`" for c in wanted], F.col("text").alias("_text"))
+    passes = 0
+    for blocks in batched(_blocks(bench, block_bytes, window), PASS_BLOCKS):
+        shared = [context.broadcast(tests) for tests in blocks]
 
         def work(shared=shared):
-            tests = shared.value
-
-            def step(texts: list[bytes]) -> dict[str, list]:
-                counts, starts, place, at = shard_matches(texts, tests)
-                n = len(texts)
-                out = {"n_words": counts.tolist(), "b": [[] for _ in range(n)], "e": [[] for _ in range(n)], "i": [[] for _ in range(n)], "l": [0] * n}
-                owner = np.searchsorted(starts, place, "right") - 1
-                order = np.argsort(owner, kind="stable")
-                owner, place, at = owner[order], place[order], at[order]
-                cuts = np.flatnonzero(np.diff(owner)) + 1
-                for p, w, doc in zip(np.split(place, cuts), np.split(at, cuts), owner[np.r_[0, cuts]] if len(owner) else [], strict=False):
-                    p = p - starts[doc]
-                    out["b"][doc], out["e"][doc] = _spans(p, p + tests.lengths[w])
-                    out["i"][doc] = sorted(set().union(*[tests.items[x] for x in np.unique(w)]))
-                    out["l"][doc] = _longest(p, w, tests)
-                return {"n_words": out["n_words"], f"_b{block}": out["b"], f"_e{block}": out["e"], f"_i{block}": out["i"], f"_l{block}": out["l"]}
-
-            return step
-
-        made = f"n_words long, _b{block} array<long>, _e{block} array<long>, _i{block} array<string>, _l{block} long"
-        kept = [c for c in found.columns if c != "n_words"]
-        if block == 0:
-            names = {"n_words", "n_hit", "hit_starts", "hit_ends", "hit_items", "longest"}
-            wanted = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names and not c.startswith("_")]
-            found = docs.select(*[f"`{c}`" for c in wanted], F.col("text").alias("_text"))
-            kept = [*wanted, "_text"]
-        found = map_texts(found, work, made, "_text", kept)
-        blocks = block + 1
-    base = [c for c in found.columns if not c.startswith("_") and c != "n_words"]
-    spans = [F.arrays_zip(F.col(f"_b{b}").alias("b"), F.col(f"_e{b}").alias("e")) for b in range(blocks)]
+            return lambda texts: _pass_hits(texts, [s.value for s in shared])
+
+        found = with_texts(found, work, "n_words long, b array<long>, e array<long>, items array<string>, longest long", f"_hits{passes}", "_text")
+        passes += 1
+    hits = [F.col(f"_hits{p}") for p in range(passes)]
+    spans = [F.arrays_zip(h["b"].alias("b"), h["e"].alias("e")) for h in hits]
     merged = F.aggregate(
         F.array_sort(F.flatten(F.array(*spans))),
         F.array().cast("array<struct<b:bigint,e:bigint>>"),
@@ -189,15 +184,38 @@ def benchmark_hits(
             ),
         ).otherwise(F.concat(done, F.array(F.struct(x["b"].alias("b"), x["e"].alias("e"))))),
     )
-    whole = F.col("_merged") if blocks > 1 else spans[0]
-    table = found.withColumn("_merged", merged) if blocks > 1 else found
+    table = found.withColumn("_merged", merged if passes > 1 else spans[0])
     return table.select(
-        *[f"`{c}`" for c in base], "n_words",
-        F.aggregate(whole, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"]).alias("n_hit"),
-        whole["b"].alias("hit_starts"), whole["e"].alias("hit_ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_i{b}" for b in range(blocks)])))).alias("hit_items"),
-        F.greatest(F.lit(0), *[f"_l{b}" for b in range(blocks)]).cast("long").alias("longest"),
-    ).to(_schema(docs, base, added))
+        *[f"`{c}`" for c in wanted], hits[0]["n_words"].alias("n_words"),
+        F.aggregate("_merged", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["b"]).alias("n_hit"),
+        F.col("_merged")["b"].alias("hit_starts"), F.col("_merged")["e"].alias("hit_ends"),
+        F.array_sort(F.array_distinct(F.flatten(F.array(*[h["items"] for h in hits])))).alias("hit_items"),
+        F.greatest(F.lit(0), *[h["longest"] for h in hits]).cast("long").alias("longest"),
+    ).to(_schema(docs, wanted, "n_words long, n_hit long, hit_starts array<long>, hit_ends array<long>, hit_items array<string>, longest long"))
+
+
+def _pass_hits(texts: list[bytes], blocks: list[Suffixes]) -> dict[str, list]:
+    """Word counts, covered spans, items and longest match of each text over several blocks."""
+    n = len(texts)
+    begins, ends, items, longest = ([[] for _ in range(n)] for _ in range(4))
+    for tests in blocks:
+        counts, starts, place, at = shard_matches(texts, tests)
+        owner = np.searchsorted(starts, place, "right") - 1
+        order = np.argsort(owner, kind="stable")
+        owner, place, at = owner[order], place[order], at[order]
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        for p, w, doc in zip(np.split(place, cuts), np.split(at, cuts), owner[np.r_[0, cuts]] if len(owner) else [], strict=False):
+            p = p - starts[doc]
+            b, e = _spans(p, p + tests.lengths[w])
+            begins[doc] += b
+            ends[doc] += e
+            items[doc] += tests.items_of(w)
+            longest[doc].append(_longest(p, w, tests))
+    for doc in range(n if len(blocks) > 1 else 0):
+        if begins[doc]:
+            begins[doc], ends[doc] = _spans(np.array(begins[doc]), np.array(ends[doc]))
+            items[doc] = sorted(set(items[doc]))
+    return {"n_words": counts.tolist(), "b": begins, "e": ends, "items": items, "longest": [max(x, default=0) for x in longest]}
 
 
 def _schema(docs: DataFrame, base: list[str], added: str):

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doseweave.llm.common import map_texts
+from doseweave.llm.common import map_texts, with_texts
 
 #: Labelled texts per language that the centroids are fitted on, chosen by hash from all of them.
 SAMPLE_PER_LANGUAGE = 300
@@ -240,5 +240,10 @@ def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with its columns, whose language is recognised; the model is fitted on them first."""
     named = docs.withColumnsRenamed({c: f"carried:{c}" for c in docs.columns if c.lower() in ("lang_pred", "score", "lang_rejected")})
     model = fit(docs.filter(~held_out()))
-    kept = identified(named, model, keep=named.columns).filter(~F.col("lang_rejected"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work():
+        return lambda texts: {"rejected": shared.value.nearest([t.decode("utf-8", "replace") for t in texts])[2].tolist()}
+
+    kept = with_texts(named, work, "rejected boolean", "carried:judged", piece=PIECE).filter(~F.col("`carried:judged`.rejected"))
     return kept.select(*[F.col(f"`carried:{c}`" if f"carried:{c}" in named.columns else f"`{c}`").alias(c) for c in docs.columns])

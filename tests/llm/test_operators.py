@@ -82,7 +82,10 @@ def test_mixing(hard, nothing):
     assert mixing.mixed(nothing).count() == mixing.mix_sizes(nothing).count() == 0
 
 
-def test_decontamination(hard, nothing, bench):
+@pytest.mark.parametrize("pass_blocks", [8, 2])
+def test_decontamination(hard, nothing, bench, monkeypatch, pass_blocks):
+    monkeypatch.setattr(decontamination, "PASS_BLOCKS", pass_blocks)
+
     def brute(text, items):
         words = decontamination.words_of((text or "").encode())
         hit, found = set(), set()
