@@ -6,9 +6,16 @@ import re
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title iframe svg math object canvas audio video".split())
+SKIPPED = frozenset("script style template head title iframe svg".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr br img".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label wbr br img "
+    # Formulae, pictures and media stand in a line; what they hold for readers without them is text.
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mspace mstyle mpadded mfenced semantics "
+    "svg object canvas audio video picture source track embed input noscript".split()
+)
+#: Elements that end an unclosed picture.
+BLOCKS = frozenset(
+    "address article aside blockquote body details dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split()
 )
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -54,13 +61,15 @@ class _Blocks(HTMLParser):
         del self.stack[index:]
 
     def handle_starttag(self, tag, attrs):
+        inline = tag in INLINE or (self._in_picture() and tag not in BLOCKS)
         if tag == "br":
             self.parts.append(" ")
-        elif tag not in INLINE:
+        elif not inline:
             self.flush()
         if tag in VOID:
             return
-        if tag not in INLINE:
+        if not inline:
+            self._leave_picture()
             self._close_open(tag)
         if tag == "body" and self.skipped:
             self._pop_to(0)
@@ -74,6 +83,20 @@ class _Blocks(HTMLParser):
         self.skipped += tag in SKIPPED
         self.links += tag == "a"
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` of any kind is a comment: up to ``]]>`` for character data, else up to ``>``."""
+        mark = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        end = self.rawdata.find(mark, i)
+        return end + len(mark) if end >= 0 else -1
+
+    def _in_picture(self) -> bool:
+        return self.skipped > 0 and any(name == "svg" for name, _ in self.stack)
+
+    def _leave_picture(self) -> None:
+        """A block ends a picture that was never closed."""
+        if self._in_picture():
+            self._pop_to(next(i for i, (name, _) in enumerate(self.stack) if name == "svg"))
+
     def _close_open(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
@@ -84,7 +107,7 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag not in INLINE and (tag in BLOCKS or not self._in_picture()):
             self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
