@@ -68,14 +68,14 @@ def enzyme_block(t: Tables) -> DataFrame:
     return out.select("drug", F.concat_ws(",", first, last).alias("flags"), "known")
 
 
-GENES_SQL = """WITH pf AS (SELECT p_brand || p_type AS structure, p_size AS sz, [p_name, 'G' || p_size] AS genes FROM part WHERE p_size < 40),
+GENES_SQL = """WITH pf AS (SELECT p_brand || p_type AS structure, p_size AS sz, [p_name, 'G' || p_size] AS genes FROM part),
 dr AS (SELECT p_partkey AS drug, p_brand || p_type AS structure FROM part)
 """
 
 
 def gene_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     key = F.concat("p_brand", "p_type")
-    profiles = t.part.filter("p_size < 40").select(
+    profiles = t.part.select(
         key.alias("structure"), F.to_json(F.array(F.col("p_name"), F.concat(F.lit("G"), "p_size"))).alias("genes_list"))
     return t.part.select(F.col("p_partkey").alias("drug"), key.alias("structure")), profiles
 

@@ -120,6 +120,23 @@ def frozen_vocabulary(t: Tables) -> DataFrame:
     return events.pos_weights(vocabulary, clip=0.5).withColumn("pos_weight", F.round("pos_weight", 9))
 
 
+#: Pairs an event needs in the full table for a place in the vocabulary.
+FULL_SUPPORT = 30
+
+
+@query(
+    EDGES_SQL + f""", pos AS (SELECT event_idx, count(*) AS train_pos FROM labels_ SEMI JOIN train USING (pair_id) GROUP BY 1),
+least_ AS (SELECT ceil({FULL_SUPPORT} * (SELECT count(*) FROM train) / (SELECT count(*) FROM prs)) AS m)
+SELECT event_idx, train_pos, (SELECT m FROM least_)::BIGINT AS min_pairs FROM pos WHERE train_pos >= (SELECT m FROM least_) AND train_pos < (SELECT count(*) FROM train)"""
+)
+def scaled_vocabulary(t: Tables) -> DataFrame:
+    """The vocabulary under the full table's support rule, scaled to the part of its pairs that train."""
+    table = supplier_table(t)
+    train = train_pairs(table)
+    least = events.scaled_min_pairs(FULL_SUPPORT, train.count(), table.pairs.count())
+    return events.freeze_vocabulary(table.labels, train, least).select("event_idx", "train_pos", F.lit(least).cast("long").alias("min_pairs"))
+
+
 PARTS_SQL = VOCAB_SQL + f""", seen AS (SELECT pair_id, {KNOWN_SQL.format('drug_a')} AS x, {KNOWN_SQL.format('drug_b')} AS y FROM prs),
 parts AS (SELECT pair_id, CASE WHEN x AND y THEN 'train' WHEN NOT x AND NOT y THEN 's1' ELSE 's2' END AS part FROM seen)
 """

@@ -163,7 +163,7 @@ FROM pp JOIN dr x ON drug_a = x.drug JOIN dr y ON drug_b = y.drug"""
 )
 def group_disjoint_partition(t: Tables) -> DataFrame:
     roles = splits.group_roles_by_count(structure_groups(t), seed=6)
-    return splits.group_disjoint_splits(part_pairs(t).select(*PAIRS), roles)
+    return splits.group_disjoint_splits(part_pairs(t).select(*PAIRS), roles, ["train"])
 
 
 @query(

@@ -145,12 +145,16 @@ def pairs_from_roles(pairs: DataFrame, roles: DataFrame) -> DataFrame:
     return with_roles(pairs, roles).withColumn("partition", part).drop("role_a", "role_b")
 
 
-def group_disjoint_splits(pairs: DataFrame, roles: DataFrame) -> DataFrame:
-    """A pair keeps its role only when both endpoints share it; other pairs become ``cross_role``."""
+def group_disjoint_splits(pairs: DataFrame, roles: DataFrame, required: Sequence[str] = ()) -> DataFrame:
+    """A pair keeps its role only when both endpoints share it; other pairs become ``cross_role``.
+
+    Fails when a ``required`` partition has no pair.
+    """
     same = F.col("role_a") == F.col("role_b")
-    return with_roles(pairs, roles).withColumn("partition", F.when(same, F.col("role_a")).otherwise("cross_role")).drop(
+    split = with_roles(pairs, roles).withColumn("partition", F.when(same, F.col("role_a")).otherwise("cross_role")).drop(
         "role_a", "role_b"
     )
+    return require_partitions(split, required) if required else split
 
 
 def require_partitions(split: DataFrame, names: Sequence[str]) -> DataFrame:

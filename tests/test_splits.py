@@ -125,3 +125,11 @@ def test_pair_index_round_trip(spark):
     big = spark.range(10_000).select((F.col("id") * 7_777_777 + 3).alias("id")).unionByName(spark.range(5000))
     bad = big.select("id", low.alias("lo"), high.alias("hi")).filter("lo < 0 OR lo >= hi OR cast(hi * (hi - 1) / 2 as long) + lo <> id")
     assert bad.count() == 0
+
+
+def test_a_required_partition_must_have_pairs(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "drug_a long, drug_b long")
+    roles = spark.createDataFrame([(1, "train"), (2, "train"), (3, "test")], "drug long, role string")
+    assert splits.group_disjoint_splits(pairs, roles, ["train"]).count() == 2
+    with pytest.raises(ContractError, match="test"):
+        splits.group_disjoint_splits(pairs, roles, ["train", "test"])
