@@ -235,9 +235,25 @@ fr AS (SELECT * FROM dd ANTI JOIN pp USING (drug_a, drug_b))
 SELECT drug_a, drug_b FROM fr ORDER BY i LIMIT (SELECT {n})"""
 
 
+def permuted_sql(n: str, seed: str) -> str:
+    """The first n pairs outside pp(drug_a, drug_b) in the permuted order of all pairs of nb(drug, i)."""
+    steps = "c0 AS MATERIALIZED (SELECT k, k // b AS l, k % b AS r, a, b, t FROM sz, range(m) x(k)),\n"
+    for turn in range(negatives.ROUNDS):
+        moved, by, side = ("l", "r", "a") if turn % 2 == 0 else ("r", "l", "b")
+        step = f"({moved} + ('0x' || substr({sha(f'{seed}:mix{turn}', by)}, 1, 15))::BIGINT % {side}) % {side} AS {moved}"
+        steps += f"c{turn + 1} AS MATERIALIZED (SELECT k, {step}, {by}, a, b, t FROM c{turn}),\n"
+    return f"""tt AS (SELECT count(*) * (count(*) - 1) // 2 AS t FROM nb),
+ta AS (SELECT t, ceil(sqrt(t))::BIGINT AS a, {n} AS n, (SELECT count(*) FROM pp) AS f FROM tt),
+sz AS (SELECT t, a, (t + a - 1) // a AS b, least(a * ((t + a - 1) // a), n + f + a * ((t + a - 1) // a) - t) AS m FROM ta),
+{steps}cx AS (SELECT k, l * b + r AS x, floor((1 + sqrt(1 + 8 * (l * b + r))) / 2)::BIGINT AS g FROM c{negatives.ROUNDS} WHERE l * b + r < t),
+ch AS (SELECT k, x, CASE WHEN g * (g - 1) // 2 > x THEN g - 1 WHEN (g + 1) * g // 2 <= x THEN g + 1 ELSE g END AS h FROM cx),
+dd AS (SELECT k, least(p.drug, q.drug) AS drug_a, greatest(p.drug, q.drug) AS drug_b FROM ch JOIN nb p ON p.i = x - h * (h - 1) // 2 JOIN nb q ON q.i = h)
+SELECT drug_a, drug_b FROM dd ANTI JOIN pp USING (drug_a, drug_b) ORDER BY k LIMIT (SELECT {n})"""
+
+
 @query(
-    PART_PAIRS_SQL + f""", urn AS (SELECT drug, row_number() OVER (ORDER BY {sha('42:urn', 'drug')}) - 1 AS slot FROM drugs),
-""" + draw_sql("urn", "(SELECT count(*) FROM pp)", "(SELECT count(*) FROM urn)", "42")
+    PART_PAIRS_SQL + f""", nb AS (SELECT drug, row_number() OVER (ORDER BY {sha('42:urn', 'drug')}) - 1 AS i FROM drugs),
+""" + permuted_sql("(SELECT count(*) FROM pp)", "42")
 )
 def unreported_pairs_uniform(t: Tables) -> DataFrame:
     """As many unreported part pairs as reported ones, drawn from a thin pair space."""
@@ -258,11 +274,10 @@ def unreported_pairs_degree_matched(t: Tables) -> DataFrame:
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> o_orderpriority[1:1]::BIGINT * 5),
 drugs AS (SELECT drug_a AS drug FROM pp UNION SELECT drug_b FROM pp),
 nb AS (SELECT drug, row_number() OVER (ORDER BY {sha('8:urn', 'drug')}) - 1 AS i FROM drugs),
-al AS (SELECT least(x.drug, y.drug) AS drug_a, greatest(x.drug, y.drug) AS drug_b, {sha('8:walk', '(y.i * (y.i - 1) // 2 + x.i)')} AS pr FROM nb x JOIN nb y ON x.i < y.i)
-SELECT drug_a, drug_b FROM al ANTI JOIN pp USING (drug_a, drug_b) ORDER BY pr LIMIT (SELECT round_even(count(*) * 0.5, 0)::BIGINT FROM pp)"""
+""" + permuted_sql("(SELECT round_even(count(*) * 0.5, 0)::BIGINT FROM pp)", "8")
 )
 def unreported_pairs_dense(t: Tables) -> DataFrame:
-    """The request is a large part of the few possible nation pairs, so the index space is walked."""
+    """The request is a large part of the few possible nation pairs; the rule is that of a thin request."""
     rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_nationkey").cast("long").alias("drug_a"), (F.substring("o_orderpriority", 1, 1).cast("long") * 5).alias("drug_b")
     )

@@ -133,3 +133,26 @@ def test_a_required_partition_must_have_pairs(spark):
     assert splits.group_disjoint_splits(pairs, roles, ["train"]).count() == 2
     with pytest.raises(ContractError, match="test"):
         splits.group_disjoint_splits(pairs, roles, ["train", "test"])
+
+
+@pytest.mark.parametrize("sides", [(7, None), (2, None), (5, 9), (1, 4), (1, None)])
+def test_permutation_gives_each_pair_once_and_is_consistent(spark, sides):
+    first = negatives.uniform_urn(spark.range(sides[0]).select(F.col("id").alias("drug")), 3)
+    second = None if sides[1] is None else negatives.uniform_urn(spark.range(100, 100 + sides[1]).select(F.col("id").alias("drug")), 3)
+    cells = sides[0] * (sides[1] or sides[0])
+    whole = negatives.permuted_pairs(spark, first, second, 4 * cells, "s").collect()
+    wanted = {(a, b) for a in range(sides[0]) for b in (range(100, 100 + sides[1]) if sides[1] else range(a + 1, sides[0]))}
+    assert len(whole) == len(wanted) and {(r.drug_a, r.drug_b) for r in whole} == wanted
+    half = negatives.permuted_pairs(spark, first, second, cells // 2, "s").collect()
+    assert sorted(half) == sorted(r for r in whole if r["rank"] < cells // 2)
+
+
+def test_uniform_pairs_are_the_same_rule_at_every_density(spark):
+    urn = negatives.uniform_urn(spark.range(40).select(F.col("id").alias("drug")), 1)
+    taken = spark.createDataFrame([(a, b) for a in range(20) for b in range(a + 1, 40)], "drug_a long, drug_b long")
+    free_n = 40 * 39 // 2 - taken.count()
+    order = [tuple(r)[:2] for r in negatives.permuted_pairs(spark, urn, None, 10**6, "u").join(taken, ["drug_a", "drug_b"], "left_anti").orderBy("rank").collect()]
+    for n in (1, 50, free_n, free_n + 5):
+        sample, found = negatives.uniform_pairs(spark, urn, None, taken, n, "u", taken.count())
+        assert found == min(n, free_n)
+        assert sorted(tuple(r)[:2] for r in sample.collect()) == sorted(order[:n])
