@@ -196,7 +196,10 @@ WITH kinds(number, kind, pattern) AS (VALUES
     WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND regexp_full_match(hit, '[A-Za-z0-9]+') THEN 4
     WHEN regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[A-Z]') THEN 5 END AS number
   FROM placed
-  WHERE number = 3 AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9-]+$|/.*/|(?i:example|sample|placeholder|changeme|dummy|xxxx)')
+  WHERE number = 3 AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9-]+$|(?i:example|sample|placeholder|changeme|dummy|xxxx)')
+    AND NOT (hit LIKE '%/%/%' AND coalesce(list_sum(list_transform(list_filter(string_split(hit, '/'), lambda x: regexp_full_match(x,
+      '([A-Z]*|[A-Z]?[a-z]+([A-Z][a-z]+)*[0-9]*|[A-Za-z]{0,4}[0-9]+)([_=+-]([A-Z]*|[A-Z]?[a-z]+([A-Z][a-z]+)*[0-9]*|[A-Za-z]{0,4}[0-9]+))*')), lambda x: length(x))), 0)
+      >= 0.8 * (length(hit) - len(string_split(hit, '/')) + 1))
 ), windows AS (
   SELECT doc_id, s, number, i, list_entropy(string_split(substr(hit, i + 1, 20), '')) AS h
   FROM (SELECT *, unnest(range(0, length(hit) - 19)) AS i FROM runs WHERE number IS NOT NULL)
