@@ -143,5 +143,6 @@ def mix_sizes(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The mixed documents themselves with the columns of ``docs``: a document taken twice is two rows."""
-    copies = mixed(docs, weights, share, most).filter("rounds > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
-    return copies.select(*[f"`{c}`" for c in docs.columns])
+    names = [f"c{i}" if c not in ("doc_id", "text", "source") else c for i, c in enumerate(docs.columns)]
+    copies = mixed(docs.toDF(*names), weights, share, most).filter("rounds > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("rounds"))))
+    return copies.select(*names).toDF(*docs.columns)
