@@ -18,9 +18,10 @@ from doseweave.llm.common import map_texts
 
 #: Words from which on a repeated string counts.
 LEAST_REPEAT = 5
-#: Verdict: no more than this share of the words' characters in repeats, and no repeat above these words.
-MOST_COVERED = 0.25
-MOST_WORDS = 300
+#: Verdict: no more than this share of the words' bytes in repeats, below the base rule's fifth of the words, and no repeat
+#: above these words, which is a paragraph.
+MOST_COVERED = 0.15
+MOST_WORDS = 100
 SYMBOLS = b"#*$%&|<>"
 
 
