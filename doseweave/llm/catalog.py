@@ -28,10 +28,12 @@ def query(sql: str | None = None):
 
 
 MIX_SQL = r"""
-WITH sized AS (
+WITH RECURSIVE texts AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS prio
   FROM documents
+), sized AS (
+  SELECT doc_id, source, size, prio || lpad((row_number() OVER (PARTITION BY source, prio))::VARCHAR, 15, '0') AS place FROM texts
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn
   FROM sized GROUP BY source
@@ -48,25 +50,29 @@ WITH sized AS (
          least(stop::DOUBLE, max(level) OVER () * weight) AS target
   FROM levels
 ), queue AS (
-  SELECT s.source, s.prio, s.size, t.target, r.round,
-         r.round * t.source_size + sum(s.size) OVER (PARTITION BY s.source, r.round ORDER BY s.prio) AS words
+  SELECT s.source, s.place, s.size, t.target, r.round,
+         r.round * t.source_size + sum(s.size) OVER (PARTITION BY s.source, r.round ORDER BY s.place) AS words
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) r(round)
 ), early AS (
-  SELECT source, prio, size, round FROM queue WHERE target > 0 AND words::DOUBLE / target <= 1
+  SELECT source, place, size, round FROM queue WHERE target > 0 AND words::DOUBLE / target <= 1
 ), late AS (
   SELECT *, (words - size::DOUBLE / 2) / target AS half FROM queue
   WHERE target > 0 AND words::DOUBLE / target > 1 AND (words - size::DOUBLE / 2) / target <= 1
-), ranked AS (
-  SELECT *, sum(size) OVER (ORDER BY half, source NULLS LAST, round, prio) AS total FROM late
+), line AS (
+  SELECT *, row_number() OVER (ORDER BY half, source NULLS LAST, round, place) AS i FROM late
+), walk AS (
+  SELECT 0::BIGINT AS i, ((SELECT floor(sum(size) * 1.5) FROM sized) - (SELECT coalesce(sum(size), 0) FROM early))::BIGINT AS room,
+         false AS fits, NULL::VARCHAR AS source, 0 AS round, '' AS place
+  UNION ALL
+  SELECT l.i, CASE WHEN l.size <= w.room THEN w.room - l.size ELSE w.room END, l.size <= w.room, l.source, l.round, l.place
+  FROM walk w JOIN line l ON l.i = w.i + 1
 ), picked AS (
-  SELECT source, round, max(prio) AS cut FROM (
-    SELECT source, round, prio FROM early UNION ALL
-    SELECT source, round, prio FROM ranked
-    WHERE total <= (SELECT floor(sum(size) * 1.5) FROM sized) - (SELECT sum(size) FROM early)
+  SELECT source, round, max(place) AS cut FROM (
+    SELECT source, round, place FROM early UNION ALL SELECT source, round, place FROM walk WHERE fits
   ) GROUP BY source, round
 )
 SELECT s.doc_id, s.size, t.source_size, t.target,
-       (s.size * (SELECT count(*) FROM picked p WHERE p.source IS NOT DISTINCT FROM s.source AND s.prio <= p.cut))::BIGINT AS taken
+       (s.size * (SELECT count(*) FROM picked p WHERE p.source IS NOT DISTINCT FROM s.source AND s.place <= p.cut))::BIGINT AS taken
 FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 """
 
