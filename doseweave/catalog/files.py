@@ -95,6 +95,25 @@ def label_documents(t: Tables) -> DataFrame:
                    F.sum(F.length(F.get("drug_interactions", F.lit(0)))).alias("chars"))
 
 
+@query(
+    """SELECT l_returnflag || l_linenumber || '} ],"' AS text, count(*) AS labels, min(l_linestatus || l_orderkey) AS first_name, max(l_linestatus || l_orderkey) AS last_name
+FROM lineitem GROUP BY 1"""
+)
+def bulk_label_documents(t: Tables) -> DataFrame:
+    """Bulk documents that are longer than a line, with braces, brackets and quotes in their texts."""
+    path = scratch(t, "bulk")
+    label = F.struct(
+        F.struct(F.array(F.concat("l_linestatus", "l_orderkey")).alias("substance_name")).alias("openfda"),
+        F.array(F.concat("l_returnflag", "l_linenumber", F.lit('} ],"'))).alias("drug_interactions"), F.lit('\\"{[').alias("other"))
+    documents = t.lineitem.groupBy("l_suppkey").agg(F.collect_list(label).alias("results"))
+    meta = F.struct(F.lit("terms [{").alias("terms"), F.struct(F.lit(1).alias("limit")).alias("results")).alias("meta")
+    documents.select(F.to_json(F.struct(meta, "results"), {"pretty": "true"}).alias("value")).write.text(path)
+    out = readers.read_label_documents(t.spark, path)
+    name = F.get("openfda.substance_name", F.lit(0))
+    return out.groupBy(F.get("drug_interactions", F.lit(0)).alias("text")).agg(
+        F.count(F.lit(1)).alias("labels"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
+
+
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE p_size >= 25) AS genes, count(*) FILTER (WHERE p_size < 25) AS pmids FROM part")
 def pathway_tables(t: Tables) -> DataFrame:
     base = scratch(t, "pathways")

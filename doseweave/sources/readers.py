@@ -12,6 +12,7 @@ from doseweave.functions.text import norm_name
 from doseweave.operators.clean import ContractError, require_columns, resolve_column
 from doseweave.plans.ordering import positions
 from doseweave.session import durable
+from doseweave.sources.bulk_json import record_texts
 
 
 def file_name() -> Column:
@@ -138,17 +139,19 @@ def read_interactions_norm(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-LABEL_SCHEMA = """results array<struct<openfda: struct<substance_name: array<string>, generic_name: array<string>>,
-  drug_interactions: array<string>, clinical_pharmacology: array<string>, pharmacokinetics: array<string>, mechanism_of_action: array<string>>>"""
+LABEL_SCHEMA = """openfda struct<substance_name: array<string>, generic_name: array<string>>,
+  drug_interactions array<string>, clinical_pharmacology array<string>, pharmacokinetics array<string>, mechanism_of_action array<string>"""
 
 
 def read_label_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """One row per label of bulk JSON files; only the kept keys are parsed.
 
-    A bulk file is one JSON document and is read by one task; with ``one_per_file`` off each line is a document and
-    files split.
+    A bulk file is one JSON document; it is cut into records by byte range, so one file is read by many tasks. With
+    ``one_per_file`` off each line is a document.
     """
-    docs = spark.read.schema(LABEL_SCHEMA).json(path, multiLine=one_per_file)
+    if one_per_file:
+        return record_texts(spark, path).select(F.from_json("record", LABEL_SCHEMA).alias("r")).select("r.*")
+    docs = spark.read.schema(f"results array<struct<{LABEL_SCHEMA}>>").json(path)
     return docs.select(F.explode("results").alias("r")).select("r.*")
 
 
