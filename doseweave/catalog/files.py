@@ -13,6 +13,7 @@ from doseweave.catalog.reports import CASES_SQL, case_tables
 from doseweave.session import checkpoint_dir
 from doseweave.sources import readers, writers
 from doseweave.streaming import incremental
+from doseweave.streaming.change_log import log_sink
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -249,8 +250,8 @@ def event_stream(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT event_id // 3 AS caseid, user_id AS canonical_smiles FROM events")
 def streamed_case_dedup(t: Tables) -> DataFrame:
     out = scratch(t, "dedup")
-    rows = event_stream(t).select(F.floor(F.col("event_id") / 3).alias("caseid"), F.col("user_id").alias("canonical_smiles"))
-    incremental.run_available(incremental.case_dedup(rows), incremental.parquet_sink(out), scratch(t, "ckpt"))
+    rows = event_stream(t).select(F.floor(F.col("event_id") / 3).alias("caseid"), F.col("user_id").alias("canonical_smiles"), F.col("ts").cast("timestamp"))
+    incremental.run_available(incremental.case_dedup(rows, time="ts"), incremental.parquet_sink(out), scratch(t, "ckpt"))
     return t.spark.read.parquet(out).select("caseid", "canonical_smiles")
 
 
@@ -258,8 +259,9 @@ def streamed_case_dedup(t: Tables) -> DataFrame:
 def streamed_counts(t: Tables) -> DataFrame:
     out = scratch(t, "counts")
     rows = event_stream(t).select("user_id", (F.col("value") > 90).cast("int").alias("serious"))
-    incremental.run_available(incremental.running_counts(rows, "user_id", "serious"), incremental.table_sink(out), scratch(t, "ckpt"), "complete")
-    return t.spark.read.parquet(out)
+    counts = incremental.running_counts(rows, "user_id", "serious")
+    incremental.run_available(counts, log_sink(out), scratch(t, "ckpt"), "update")
+    return incremental.current_counts(t.spark, out, counts.schema, "user_id")
 
 
 @query("SELECT (event_id // 3)::VARCHAR AS caseid, max(event_id)::VARCHAR AS primaryid FROM events GROUP BY 1")
@@ -268,8 +270,8 @@ def streamed_latest_versions(t: Tables) -> DataFrame:
     rows = event_stream(t).select(
         F.floor(F.col("event_id") / 3).cast("string").alias("caseid"), (F.col("event_id") % 3).cast("string").alias("caseversion"),
         F.date_format("ts", "yyyyMMdd").alias("fda_dt"), F.lit("2024q1").alias("quarter"), F.col("event_id").cast("string").alias("primaryid"))
-    incremental.run_available(rows, incremental.latest_version_sink(out, 8), scratch(t, "ckpt"))
-    return t.spark.read.parquet(out).select("caseid", "primaryid")
+    incremental.run_available(rows, incremental.latest_version_sink(out), scratch(t, "ckpt"))
+    return incremental.latest_versions(t.spark, out, rows.schema).select("caseid", "primaryid")
 
 
 @query(

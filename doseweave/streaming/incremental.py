@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from doseweave.functions.text import norm_name
 from doseweave.operators.reports import latest_case_version
-from doseweave.session import durable
-
-STATE_BUCKETS = 256
+from doseweave.streaming.change_log import SEQUENCE, compact, log_sink, newest, read_log
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -27,10 +25,16 @@ def case_dedup(stream: DataFrame, keys: Sequence[str] = ("caseid", "canonical_sm
 
 
 def running_counts(stream: DataFrame, key: str, serious: str) -> DataFrame:
-    """Running reports and serious reports per structure."""
+    """Running reports and serious reports per structure. In update mode a batch gives the structures it changed;
+    ``log_sink`` and ``current_counts`` make a table of them."""
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("n_reports"), F.sum(serious).alias("serious_outcome_reports"))
 
 
+def current_counts(spark: SparkSession, path: str, schema, key: str) -> DataFrame:
+    """The counts of a logged query in update mode after its last finished batch."""
+    return newest([key])(read_log(spark, path, schema)).drop(SEQUENCE)
+
+
 def map_edges(stream: DataFrame, lookup: DataFrame, a: str, b: str, keep: Sequence[str]) -> DataFrame:
     """Arriving name pairs to structures by a static lookup(name, structure); unresolved or blank ones are dropped."""
     one = lookup.filter(F.trim("structure") != "").groupBy(norm_name(F.col("name")).alias("_n")).agg(F.min("structure").alias("structure"))
@@ -40,28 +44,20 @@ def map_edges(stream: DataFrame, lookup: DataFrame, a: str, b: str, keep: Sequen
     return out.select(*keep, "source", "target")
 
 
-def latest_version_sink(path: str, buckets: int = STATE_BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the highest version per case in hash-bucketed parquet.
+def latest_version_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Logs the highest version per case of each batch. No state is kept and nothing earlier is read or rewritten, so
+    a version that arrives late, even below one already seen, costs one row and is settled by ``latest_versions``."""
+    return log_sink(path, latest_case_version)
 
-    Only the buckets a batch touches are read and rewritten. Merging is a maximum, so a replayed batch changes
-    nothing.
-    """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = durable(batch.withColumn("case_bucket", F.pmod(F.xxhash64("caseid"), F.lit(buckets)).cast("int")))
-        touched = [r["case_bucket"] for r in fresh.select("case_bucket").distinct().collect()]
-        if not touched:
-            return
-        location = spark._jvm.org.apache.hadoop.fs.Path(path)
-        merged = fresh
-        if location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location):
-            current = spark.read.parquet(path).filter(F.col("case_bucket").isin(touched))
-            merged = fresh.unionByName(current.select(*fresh.columns))
-        latest = durable(latest_case_version(merged))
-        latest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case_bucket").parquet(path)
+def latest_versions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The highest version per case of all finished batches."""
+    return latest_case_version(read_log(spark, path, schema)).drop(SEQUENCE)
 
-    return merge
+
+def compact_versions(spark: SparkSession, path: str, schema) -> int:
+    """Merges the batches so far; a later read takes that and the batches after it."""
+    return compact(spark, path, schema, latest_case_version)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -77,12 +73,3 @@ def parquet_sink(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
-
-
-def table_sink(path: str) -> Callable[[DataFrame, int], None]:
-    """Replaces the result table with the complete state of the batch."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return write

@@ -1,7 +1,7 @@
 
 from doseweave.operators import profiles
 from doseweave.sources import readers, writers
-from doseweave.streaming import incremental
+from doseweave.streaming import change_log, incremental
 
 
 def test_delimited_reports(spark, tmp_path):
@@ -48,7 +48,7 @@ def test_stream_dedup_across_files_and_replayed_versions(spark, tmp_path):
     def run():
         stream = incremental.read_stream(spark, str(source), spark.createDataFrame([], columns).schema)
         incremental.run_available(incremental.case_dedup(stream), incremental.parquet_sink(out), str(tmp_path / "c1"))
-        incremental.run_available(stream, incremental.latest_version_sink(state, 4), str(tmp_path / "c2"))
+        incremental.run_available(stream, incremental.latest_version_sink(state), str(tmp_path / "c2"))
 
     arrive([("1", "X", "1", "1", "q1", "p1"), ("1", "X", "2", "1", "q1", "p2"), ("2", "Y", "1", "1", "q1", "p3")])
     run()
@@ -56,9 +56,45 @@ def test_stream_dedup_across_files_and_replayed_versions(spark, tmp_path):
     run()
     kept = sorted((r["caseid"], r["canonical_smiles"]) for r in spark.read.parquet(out).collect())
     assert kept == [("1", "X"), ("2", "Y"), ("2", "Z")]
-    assert {r["caseid"]: r["primaryid"] for r in spark.read.parquet(state).collect()} == {"1": "p4", "2": "p3"}
-    incremental.latest_version_sink(state, 4)(spark.read.parquet(str(source)).select(*[c.split()[0] for c in columns.split(", ")]), 9)
-    assert {r["caseid"]: r["primaryid"] for r in spark.read.parquet(state).collect()} == {"1": "p4", "2": "p3"}
+    assert {r["caseid"]: r["primaryid"] for r in incremental.latest_versions(spark, state, spark.createDataFrame([], columns).schema).collect()} == {"1": "p4", "2": "p3"}
+    incremental.latest_version_sink(state)(spark.read.parquet(str(source)).select(*[c.split()[0] for c in columns.split(", ")]), 9)
+    assert {r["caseid"]: r["primaryid"] for r in incremental.latest_versions(spark, state, spark.createDataFrame([], columns).schema).collect()} == {"1": "p4", "2": "p3"}
+
+
+def test_log_survives_late_rows_replays_and_compaction(spark, tmp_path):
+    columns = "caseid string, canonical_smiles string, caseversion string, fda_dt string, quarter string, primaryid string"
+    schema = spark.createDataFrame([], columns).schema
+    path = str(tmp_path / "log")
+    write = incremental.latest_version_sink(path)
+    read = lambda: {r["caseid"]: r["primaryid"] for r in incremental.latest_versions(spark, path, schema).collect()}
+    batch = lambda *rows: spark.createDataFrame([(c, "X", v, "1", "q1", p) for c, v, p in rows], columns)
+    assert read() == {} and incremental.compact_versions(spark, path, schema) == -1
+    write(batch(("1", "2", "a"), ("1", "3", "b"), ("2", "1", "c")), 0)
+    assert read() == {"1": "b", "2": "c"}
+    assert incremental.compact_versions(spark, path, schema) == 0
+    write(batch(("1", "1", "late"), ("2", "9", "d")), 1)
+    write(batch(("1", "1", "late"), ("2", "9", "d")), 1)
+    assert read() == {"1": "b", "2": "d"}
+    # a batch and a base that broke off have no _SUCCESS and don't count
+    for broken in ("batch=2", "base=7"):
+        (tmp_path / "log" / broken).mkdir()
+    assert read() == {"1": "b", "2": "d"}
+    assert incremental.compact_versions(spark, path, schema) == 1 and read() == {"1": "b", "2": "d"}
+    write(batch(("3", None, "e"), ("2", "10", "f")), 2)
+    assert read() == {"1": "b", "2": "f", "3": "e"}
+
+
+def test_update_mode_counts_add_up_over_batches(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "counts")
+    source.mkdir()
+    stream = incremental.read_stream(spark, str(source), spark.createDataFrame([], "k string, serious int").schema)
+    counts = incremental.running_counts(stream, "k", "serious")
+    for rows in ([("a", 1), ("b", 0)], [("a", 0), (None, 1)], [("c", 1)]):
+        spark.createDataFrame(rows, "k string, serious int").coalesce(1).write.mode("append").parquet(str(source))
+        incremental.run_available(counts, change_log.log_sink(path), str(tmp_path / "ckpt"), "update")
+    changed = [spark.read.parquet(f"{path}/batch={n}").count() for n in range(3)]
+    got = {r["k"]: (r["n_reports"], r["serious_outcome_reports"]) for r in incremental.current_counts(spark, path, counts.schema, "k").collect()}
+    assert changed == [2, 2, 1] and got == {"a": (2, 1), "b": (1, 0), "c": (1, 1), None: (1, 1)}
 
 
 def test_entry_and_contract(spark):
