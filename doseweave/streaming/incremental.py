@@ -18,7 +18,8 @@ def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
 
 
 def case_dedup(stream: DataFrame, keys: Sequence[str] = ("caseid", "canonical_smiles"), time: str | None = None, delay: str = "90 days") -> DataFrame:
-    """One row per case and structure across arriving files; with an event time the state forgets old keys."""
+    """One row per case and structure across arriving files; with an event time the state forgets old keys
+    and rows that come later than ``delay`` are dropped."""
     if time:
         return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
     return stream.dropDuplicates(list(keys))
