@@ -63,10 +63,16 @@ def unmatched_profiles(drugs: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def build_targets(matched: DataFrame, targets: DataFrame, moa_only: bool = False) -> DataFrame:
-    """matched(drug, struct_id) x targets(struct_id, accession, ...): one row per accession, first per (drug, target)."""
+    """matched(drug, struct_id) x targets(struct_id, accession, ...): one row per accession, first per (drug, target).
+
+    The first of a structure's rows per accession is found before drugs join, so a structure of many rows and many drugs
+    doesn't multiply them.
+    """
     rows = targets.filter(F.lower(F.col("moa").cast("string")).isin("1", "1.0", "true")) if moa_only else targets
-    joined = rows.join(matched.select("drug", "struct_id"), "struct_id").withColumn("uniprot", F.explode(split_accessions(F.col("accession"))))
-    return one_per(joined.drop("accession"), ["drug", "uniprot"], [F.asc("struct_id"), F.asc_nulls_last("target_class")])
+    single = rows.withColumn("uniprot", F.explode(split_accessions(F.col("accession")))).drop("accession")
+    first = one_per(single, ["struct_id", "uniprot"], [F.asc_nulls_last("target_class")])
+    joined = first.join(matched.select("drug", "struct_id").distinct(), "struct_id")
+    return one_per(joined, ["drug", "uniprot"], [F.asc("struct_id"), F.asc_nulls_last("target_class")])
 
 
 def name_bridge(matched: DataFrame) -> DataFrame:
