@@ -17,10 +17,14 @@ from doseweave.session import durable
 CYP_COLUMNS = tuple(f"cyp{iso}_{role}" for iso in ISOFORMS for role in ROLE_WORDS)
 
 
+def _clean_items(items: DataFrame, owner: str) -> DataFrame:
+    clean = items.filter(F.col(owner).isNotNull() & F.col("item").isNotNull() & ~F.lower(F.trim("item")).isin("", "nan"))
+    return clean.select(owner, F.trim("item").alias("item")).distinct()
+
+
 def item_block(drugs: DataFrame, items: DataFrame) -> DataFrame:
     """items(drug, item) to drug, items (sorted distinct), known; a drug without items keeps an empty list."""
-    clean = items.filter(F.col("drug").isNotNull() & F.col("item").isNotNull() & ~F.lower(F.trim("item")).isin("", "nan"))
-    per = clean.select("drug", F.trim("item").alias("item")).distinct().groupBy("drug").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    per = _clean_items(items, "drug").groupBy("drug").agg(F.sort_array(F.collect_list("item")).alias("items"))
     return drugs.select("drug").distinct().join(per, "drug", "left").select(
         "drug", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("items").isNotNull().alias("known")
     )
@@ -52,9 +56,20 @@ def cyp_block(drugs: DataFrame, label_features: DataFrame) -> DataFrame:
 
 
 def gene_block(drugs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """drugs(drug, structure) x profiles(structure, genes_list): exact structure match, profiles united."""
+    """drugs(drug, structure) x profiles(structure, genes_list): exact structure match, profiles united.
+
+    Lists are united once per combination of structures that some drug has, not once per drug.
+    """
     genes = profiles.select("structure", F.explode(parse_gene_list(F.col("genes_list"))).alias("item"))
-    return item_block(drugs, drugs.join(genes, "structure").select("drug", "item"))
+    owners = drugs.groupBy("drug").agg(F.sort_array(F.collect_set(F.when(F.col("drug").isNotNull(), F.col("structure")))).alias("structures"))
+    held = _clean_items(genes, "structure").groupBy("structure").agg(F.collect_list("item").alias("items"))
+    united = (
+        owners.select("structures").distinct().withColumn("structure", F.explode("structures")).join(held, "structure")
+        .groupBy("structures").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    )
+    return owners.join(united, "structures", "left").select(
+        "drug", F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.col("items").isNotNull().alias("known")
+    )
 
 
 def unmatched_profiles(drugs: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -33,3 +33,15 @@ def test_targets_of_a_shared_structure_do_not_multiply(spark):
     out = blocks.build_targets(matched, targets, True)
     assert {(r.uniprot, r.target_class) for r in out.collect()} == {("A0", "c000"), ("A1", "c001"), ("A2", "c002"), ("B", "c000")}
     assert out.count() == 1200 and max(counted(out, "numOutputRows")) <= 1200
+
+
+def test_profiles_of_a_shared_structure_do_not_multiply(spark):
+    drugs = spark.range(300).select(F.col("id").alias("drug"), F.lit("s").alias("structure")).unionByName(
+        spark.createDataFrame([(0, "t"), (300, "u"), (None, "s")], "drug long, structure string"))
+    profiles = spark.range(400).select(F.lit("s").alias("structure"), F.to_json(F.array(F.concat(F.lit("G"), F.col("id") % 2))).alias("genes_list")).unionByName(
+        spark.createDataFrame([("t", '["A"]'), ("u", '["nan"]')], "structure string, genes_list string"))
+    out = blocks.gene_block(drugs, profiles)
+    got = {r.drug: (r["items"], r.known) for r in out.collect()}
+    assert len(got) == 302 and got[0] == (["A", "G0", "G1"], True) and got[1] == (["G0", "G1"], True)
+    assert got[300] == ([], False) and got[None] == ([], False)
+    assert max(counted(out, "numOutputRows")) <= 1000
