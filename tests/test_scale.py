@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from doseweave.operators import blocks
+from doseweave.plans import hashing
 
 
 def counted(df, metric):
@@ -45,3 +46,11 @@ def test_profiles_of_a_shared_structure_do_not_multiply(spark):
     assert len(got) == 302 and got[0] == (["A", "G0", "G1"], True) and got[1] == (["G0", "G1"], True)
     assert got[300] == ([], False) and got[None] == ([], False)
     assert max(counted(out, "numOutputRows")) <= 1000
+
+
+def test_rows_of_a_stratified_cut_are_not_shuffled(spark):
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 10 < 9, 1).otherwise(0).alias("label"))
+    out = hashing.by_fraction(rows, ["id"], 3, {"test": 0.2, "val": 0.1}, "train", "role", by=["label"])
+    sizes = {(r.label, r.role): r["count"] for r in out.groupBy("label", "role").count().collect()}
+    assert sizes == {(1, "test"): 1080, (1, "val"): 540, (1, "train"): 3780, (0, "test"): 120, (0, "val"): 60, (0, "train"): 420}
+    assert sum(counted(out, "shuffleRecordsWritten")) < 600
