@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.operators.calibration import apply_calibrator, event_calibrator
-from doseweave.operators.metrics import macro_ranking
+from doseweave.operators.metrics import evaluable, macro_ranking
 from doseweave.operators.ranking import retained_prefixes
+from doseweave.operators.replicates import listed, replicate_auroc
 from doseweave.operators.splits import split_calibration
 from doseweave.plans.ordering import kth_values, quantiles, running_sums
 from doseweave.session import durable
@@ -148,9 +149,15 @@ def random_abstention(
     ordered = sorted(set(levels))
     steps = {str(c): c - (ordered[i - 1] if i else 0.0) for i, c in enumerate(ordered)}
     placed = by_fraction(repeated, ["rep", pair], f"{seed}:null", steps, "none", "_band", by=["rep"])
-    inside = F.array(*[F.when(F.col("_band").isin(*[str(x) for x in ordered if x <= c]), F.lit(c)) for c in ordered])
-    kept = placed.withColumn("level", F.explode(F.array_compact(inside))).select(pair, "rep", "level")
-    scored = macro_ranking(cells.join(kept, pair), event, label, score, min_pos, ["rep", "level"])
+    # A pair's weights: how often it is kept, by repetition and level.
+    places = [(rep, c) for rep in range(1, reps + 1) for c in ordered]
+    inside = [(F.col("rep") == rep) & F.col("_band").isin(*[str(x) for x in ordered if x <= c]) for rep, c in places]
+    kept = placed.groupBy(pair).agg(F.array(*[F.count_if(x).cast("smallint") for x in inside]).alias("_w"))
+    per = replicate_auroc(cells.select(pair, event, label, score).join(kept.hint("merge"), pair), label, score, [event], F.col("_w"), listed)
+    place = F.col("replicate") - 1
+    level = F.get(F.array(*[F.lit(c) for c in ordered]), place % len(ordered))
+    marked = evaluable(per, min_pos).withColumns({"rep": F.floor(place / len(ordered)), "level": level})
+    scored = marked.groupBy("rep", "level").agg(F.avg(F.when(F.col("evaluable"), F.col("auroc"))).alias("macro_auroc"))
     return scored.groupBy("level").agg(F.avg("macro_auroc").alias("null_mean"), F.stddev_pop("macro_auroc").alias("null_sd"))
 
 

@@ -7,22 +7,21 @@ replicates, so resampling needs no shuffle of its own and repeats exactly.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import exp, factorial
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from doseweave.operators.ranking import auroc
+from doseweave.operators.replicates import PER_HASH, POISSON_EDGES, hash_key, listed, poisson, replicate_auroc, replicate_means, weight_sums
 from doseweave.plans.hashing import priority
 from doseweave.plans.ordering import running_sums, score_bucket
-
-PER_HASH = 8
-# Upper 32-bit edges of Poisson(1): a draw's weight is how many edges it reaches.
-POISSON_EDGES = tuple(int(sum(exp(-1) / factorial(i) for i in range(k + 1)) * 2**32) for k in range(10))
+from doseweave.session import durable
 
 
 def bootstrap_weights(df: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
@@ -56,8 +55,7 @@ def auroc_interval(
     level: float = 0.95,
 ) -> DataFrame:
     """AUROC with its bootstrap interval per group."""
-    drawn = bootstrap_weights(rows.select(*dict.fromkeys([*by, *keys, label, score])), keys, replicates, seed)
-    per = auroc(drawn, label, score, [*by, "replicate"], F.col("weight"))
+    per = replicate_auroc(rows, label, score, by, hash_key(keys), poisson(replicates, seed))
     interval = percentile_interval(per.filter("auroc IS NOT NULL"), "auroc", by, level)
     point = auroc(rows, label, score, by)
     if by:
@@ -78,8 +76,8 @@ def paired_auroc_difference(
             (F.max(F.when(F.col("model") == "a", F.col("auroc"))) - F.max(F.when(F.col("model") == "b", F.col("auroc")))).alias("diff")
         )
 
-    drawn = bootstrap_weights(long, keys, replicates, seed)
-    boot = difference(auroc(drawn, label, "s", [*by, "replicate", "model"], F.col("weight")), [*by, "replicate"])
+    drawn = replicate_auroc(long, label, "s", [*by, "model"], hash_key(keys), poisson(replicates, seed))
+    boot = difference(drawn, [*by, "replicate"])
     tests = boot.groupBy(*by).agg(
         F.percentile("diff", F.lit(0.025)).alias("ci_low"), F.percentile("diff", F.lit(0.975)).alias("ci_high"),
         F.least(
@@ -115,12 +113,9 @@ def degradation_bins(rows: DataFrame, similarity: str, label: str, score: str, k
     ranked = auroc_interval(binned, label, score, keys, ["bin"], replicates, seed).withColumnsRenamed(
         {"ci_low": "auroc_low", "ci_high": "auroc_high"}).select("bin", "auroc", "auroc_low", "auroc_high")
 
-    def weighted(df: DataFrame, by: Sequence[str], w: Column) -> DataFrame:
-        e = (F.col(score) - F.col(label)) * (F.col(score) - F.col(label))
-        return df.groupBy(*by).agg((F.sum(w * e) / F.sum(w)).alias("b"))
-
-    spread = grouped_interval(binned.select("bin", *keys, label, score), keys, ["bin"], weighted, "b", replicates, seed).select(
-        "bin", F.col("ci_low").alias("brier_low"), F.col("ci_high").alias("brier_high"))
+    error = (F.col(score) - F.col(label)) * (F.col(score) - F.col(label))
+    means = replicate_means(binned.withColumn("_e", error), "_e", ["bin"], hash_key(keys), poisson(replicates, seed), "b")
+    spread = percentile_interval(means, "b", ["bin"]).select("bin", F.col("ci_low").alias("brier_low"), F.col("ci_high").alias("brier_high"))
     return base.join(ranked, "bin", "left").join(spread, "bin", "left")
 
 
@@ -130,33 +125,53 @@ def abstention_gain(
 ) -> DataFrame:
     """Macro AUROC of the kept pairs minus that of all pairs, the selection redone inside every resample.
 
-    In a resample a pair counts with its weight, so the cut is the weighted position of its reliability.
+    In a resample a pair counts with its weight, so the cut is the weighted position of its reliability. The rows behind
+    the answer are one more replicate, in which every pair weighs 1. A replicate's cut is one reliability: pairs above
+    it are kept, and those at it that have the lowest hashes, up to their share.
     """
     from doseweave.operators.metrics import evaluable
-    from doseweave.operators.ranking import ranking_metrics
-
-    def gain(drawn: DataFrame, by: Sequence[str]) -> DataFrame:
-        totals = drawn.groupBy(*by).agg(F.sum("weight").alias("_n"))
-        ties = drawn.groupBy(*by, "reliability").agg(F.sum("weight").alias("w"))
-        run = running_sums(ties, "reliability", ["w"], by, descending=True).join(totals, list(by))
-        k = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(coverage))))
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - (F.col("run_w") - F.col("w"))) / F.col("w")))
-        kept = drawn.join(run.select(*by, "reliability", share.alias("_share")), [*by, "reliability"])
-        # A tie group that straddles the cut keeps the lowest hashes up to its share.
-        unit = F.conv(F.substring(priority(f"{seed}:tie", *[F.col(x) for x in [*by, pair]]), 1, 8), 16, 10).cast("double") / 2**32
-        flagged = kept.withColumn("_keep", unit < F.col("_share"))
-        sets = F.array_compact(F.array(F.lit("all"), F.when(F.col("_keep"), F.lit("kept"))))
-        scored = cells.join(flagged.withColumn("subset", F.explode(sets)), pair)
-        per = evaluable(ranking_metrics(scored, label, score, [*by, "subset", event], F.col("weight")), min_pos).filter("evaluable")
-        macro = per.groupBy(*by, "subset").agg(F.avg("auroc").alias("m"))
-        return macro.groupBy(*by).agg(
-            (F.max(F.when(F.col("subset") == "kept", F.col("m"))) - F.max(F.when(F.col("subset") == "all", F.col("m")))).alias("gain")
-        )
 
-    pairs = reliability.select(pair, F.col("reliability").cast("double").alias("reliability"))
-    boot = gain(bootstrap_weights(pairs, [pair], replicates, seed), ["replicate"])
-    point = gain(pairs.withColumns({"weight": F.lit(1), "_one": F.lit(1)}), ["_one"])
-    interval = percentile_interval(boot.filter("gain IS NOT NULL"), "gain")
+    drawn, keyed = poisson(replicates, seed), reliability.select(pair, F.col("reliability").cast("double").alias("reliability"), hash_key([pair]).alias("_key"))
+    pairs = durable(keyed)
+
+    def weights(keys: pa.Array) -> np.ndarray:
+        return np.c_[drawn(keys), np.ones(len(keys), np.int16)]
+
+    ties = durable(
+        weight_sums(pairs, ["reliability"], F.col("_key"), weights).select("reliability", F.posexplode("sums").alias("place", "w"))
+        .groupBy("place", "reliability").agg(F.sum("w").alias("w")).filter("w > 0")
+    )
+    totals = ties.groupBy("place").agg(F.sum("w").alias("_n"))
+    run = running_sums(ties, "reliability", ["w"], ["place"], descending=True).join(totals, "place")
+    k = F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(coverage))))
+    share = F.least(F.lit(1.0), (k - (F.col("run_w") - F.col("w"))) / F.col("w"))
+    last = run.withColumn("share", share).filter("share > 0").groupBy("place").agg(F.min_by(F.struct("reliability", "share"), "reliability").alias("c"))
+    cut, part = np.full(replicates + 1, np.inf), np.zeros(replicates + 1)
+    for r in last.collect():
+        cut[r.place], part[r.place] = r.c.reliability, r.c.share
+    starts = [f"{seed}:tie\0{r}".encode() for r in [*range(1, replicates + 1), 1]]
+
+    def keep(batches):
+        for batch in batches:
+            keys, value = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)[:, None]
+            w, kept, texts = weights(keys), value > cut, [x.encode() for x in keys.to_pylist()]
+            for row, place in zip(*np.nonzero((value == cut) & (w > 0)), strict=True):
+                kept[row, place] = int.from_bytes(sha256(starts[place] + texts[row]).digest()[:4]) / 2**32 < part[place]
+            both = np.c_[w, np.where(kept, w, 0)].astype(np.int16)
+            lists = pa.ListArray.from_arrays(np.arange(0, both.size + 1, both.shape[1], dtype=np.int32), pa.array(both.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[pair, "_w"])
+
+    kind = dict(pairs.dtypes)[pair]
+    weighted = pairs.filter("reliability IS NOT NULL").select(pair, "reliability", "_key").mapInArrow(keep, f"`{pair}` {kind}, _w array<smallint>")
+    # Weights are many times the bytes of their pairs' table, by whose size a planner would send them to every task.
+    scored = cells.select(pair, event, label, score).join(weighted.hint("merge"), pair)
+    per = evaluable(replicate_auroc(scored, label, score, [event], F.col("_w"), listed), min_pos).filter("evaluable")
+    # The first places are all pairs', the others the kept ones'.
+    place, size = F.col("replicate") - 1, replicates + 1
+    macro = per.groupBy((place % size).alias("place"), (place >= size).alias("kept")).agg(F.avg("auroc").alias("m"))
+    gains = durable(macro.groupBy("place").agg((F.max(F.when(F.col("kept"), F.col("m"))) - F.max(F.when(~F.col("kept"), F.col("m")))).alias("gain")))
+    interval = percentile_interval(gains.filter(f"gain IS NOT NULL AND place < {replicates}"), "gain")
+    point = gains.filter(f"place = {replicates}")
     return point.select(F.lit(float(coverage)).alias("coverage"), "gain").withColumn(
         "_i", interval.select(F.struct("*")).scalar()).select("*", "_i.*").drop("_i")
 

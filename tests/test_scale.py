@@ -1,8 +1,11 @@
 """What a plan makes and moves, where a first plan made or moved too much."""
 
+from hashlib import sha256
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from doseweave.operators import blocks
+from doseweave.operators import blocks, ranking, replicates, resampling
 from doseweave.plans import hashing
 
 
@@ -54,3 +57,57 @@ def test_rows_of_a_stratified_cut_are_not_shuffled(spark):
     sizes = {(r.label, r.role): r["count"] for r in out.groupBy("label", "role").count().collect()}
     assert sizes == {(1, "test"): 1080, (1, "val"): 540, (1, "train"): 3780, (0, "test"): 120, (0, "val"): 60, (0, "train"): 420}
     assert sum(counted(out, "shuffleRecordsWritten")) < 600
+
+
+def sampled(spark, n=400):
+    rows = [(i, i % 3 if i % 50 else None, (i * 37 % 100) / 100, int(i * 7919 % 11 < 4), float(i % 4)) for i in range(n)]
+    return spark.createDataFrame(rows, "pair long, grp int, score double, label int, reliability double")
+
+
+def test_replicates_equal_exploded_weights(spark):
+    rows = sampled(spark)
+    drawn = resampling.bootstrap_weights(rows, ["pair", "grp"], 20, 3)
+    want = {(r.grp, r.replicate): (r.n_pos, r.n_neg, r.auroc) for r in ranking.auroc(drawn, "label", "score", ["grp", "replicate"], F.col("weight")).collect() if r.grp is not None}
+    out = replicates.replicate_auroc(rows, "label", "score", ["grp"], replicates.hash_key(["pair", "grp"]), replicates.poisson(20, 3))
+    got = {(r.grp, r.replicate): (r.n_pos, r.n_neg, r.auroc) for r in out.collect()}
+    assert got == want and len(got) == 60
+    # A row stays one row, and what is shuffled doesn't grow with the replicates.
+    assert max(counted(out, "numOutputRows")) <= 2 * rows.count()
+    means = replicates.replicate_means(rows, "score", ["grp"], replicates.hash_key(["pair", "grp"]), replicates.poisson(20, 3), "m")
+    plain = drawn.groupBy("grp", "replicate").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("m"))
+    assert {(r.grp, r.replicate): round(r.m, 9) for r in means.collect()} == {(r.grp, r.replicate): round(r.m, 9) for r in plain.collect()}
+
+
+def test_gain_of_replicates_is_that_of_exploded_pairs(spark):
+    rows = sampled(spark)
+    cells = rows.select("pair", (F.col("pair") % 2).alias("event"), "label", "score")
+    got = resampling.abstention_gain(cells, rows.select("pair", "reliability"), "pair", "event", "label", "score", 0.6, 8).head()
+    values = {r.pair: r for r in rows.collect()}
+    weights = {}
+    for r in resampling.bootstrap_weights(rows.select("pair"), ["pair"], 8, 0).collect():
+        weights.setdefault(r.replicate, {})[r.pair] = r.weight
+
+    def gain(tag, w):
+        n, left, kept = sum(w.values()), None, {}
+        left = max(1, round(n * 0.6))
+        for value in (3.0, 2.0, 1.0, 0.0):
+            tied = {p: c for p, c in w.items() if values[p].reliability == value}
+            size = sum(tied.values())
+            share = min(1.0, max(0.0, left / size))
+            kept |= {p: c for p, c in tied.items() if int(sha256(f"0:tie\0{tag}\0{p}".encode()).hexdigest()[:8], 16) / 2**32 < share}
+            left -= size
+
+        def macro(held):
+            areas = []
+            for event in (0, 1):
+                own = [(values[p].score, values[p].label, c) for p, c in held.items() if p % 2 == event]
+                pos, neg = [x for x in own if x[1]], [x for x in own if not x[1]]
+                wins = sum(a[2] * b[2] * ((a[0] > b[0]) + (a[0] == b[0]) / 2) for a in pos for b in neg)
+                areas.append(wins / (sum(a[2] for a in pos) * sum(b[2] for b in neg)))
+            return sum(areas) / 2
+
+        return macro(kept) - macro(w)
+
+    assert abs(got.gain - gain(1, dict.fromkeys(values, 1))) < 1e-9 and got.n_boot == 8
+    boot = np.array([gain(r, w) for r, w in weights.items()])
+    assert abs(got.ci_low - np.quantile(boot, 0.025)) < 1e-9 and abs(got.ci_high - np.quantile(boot, 0.975)) < 1e-9
