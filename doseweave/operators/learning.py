@@ -53,25 +53,71 @@ class Heads:
     gradient: np.ndarray
     converged: np.ndarray
 
-    def log_odds(self, indices: list, values: list) -> np.ndarray:
-        return _product(indices, values, self.coefficients)
+    def log_odds(self, indices: pa.Array, values: pa.Array) -> np.ndarray:
+        return _Rows(*_flat(indices), _flat(values)[1], self.coefficients.shape[1] - 1).product(self.coefficients)
 
 
-def _sparse(indices: list, values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, indices), np.int64, len(indices))
-    if not sizes.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.repeat(np.arange(len(indices)), sizes), np.concatenate([np.asarray(x, np.int64) for x in indices if len(x)]), np.concatenate(
-        [np.asarray(x, float) for x in values if len(x)])
+#: Share of nonzero cells from which rows are multiplied as a dense matrix.
+DENSE_SHARE = 0.25
 
 
-def _product(indices: list, values: list, coefficients: np.ndarray) -> np.ndarray:
-    """Log odds (rows x heads): rows that are sparse times coefficients."""
-    row, at, x = _sparse(indices, values)
-    out = np.tile(coefficients[:, -1], (len(indices), 1))
-    for head in range(len(coefficients)):
-        out[:, head] += np.bincount(row, x * coefficients[head, at], len(indices))
-    return out
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of lists, and their values one after the other."""
+    return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _packed(lists: pa.Array, kind: type) -> pa.Array:
+    """Lists as binary values: a table of these is read without a step per number."""
+    sizes, flat = _flat(lists)
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32) * np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.astype(kind).tobytes())])
+
+
+def _unpacked(packed: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    size = np.dtype(kind).itemsize
+    flat = np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, ends[0]) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return np.diff(ends) // size, flat
+
+
+class _Rows:
+    """Rows of a batch: a matrix where enough cells are set, else a list of cells."""
+
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, x: np.ndarray, width: int):
+        self.n, self.width, self.at, self.x = len(sizes), width, at, x
+        if len(at) and not 0 <= at.min() <= at.max() < width:
+            raise ValueError(f"a feature is not one of {width}")
+        self.row = np.repeat(np.arange(self.n), sizes)
+        self.dense = None
+        if len(x) and len(x) >= DENSE_SHARE * self.n * width:
+            self.dense = np.bincount(self.row * width + at, x, self.n * width).reshape(self.n, width)
+
+    def product(self, coefficients: np.ndarray) -> np.ndarray:
+        """Log odds (rows x heads)."""
+        if self.dense is not None:
+            return self.dense @ coefficients[:, :-1].T + coefficients[:, -1]
+        out = np.tile(coefficients[:, -1], (self.n, 1))
+        if len(self.x):
+            for head in range(len(coefficients)):
+                out[:, head] += np.bincount(self.row, self.x * coefficients[head, self.at], self.n)
+        return out
+
+    def gathered(self, error: np.ndarray) -> np.ndarray:
+        """Sums by head and coefficient of the rows' values times their errors."""
+        if self.dense is not None:
+            return error.T @ self.dense
+        out = np.zeros((error.shape[1], self.width))
+        if len(self.x):
+            for head in range(len(out)):
+                out[head] = np.bincount(self.at, self.x * error[self.row, head], self.width)
+        return out
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [_packed(batch.column(i), kind) for i, kind in enumerate((np.int32, np.float64, np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, names=["indices", "values", "ones"])
 
 
 def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -79,19 +125,20 @@ def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights
     heads, width = coefficients.shape
     total = np.zeros((heads, width + 2))
     for batch in batches:
-        indices, values, ones = (batch.column(i).to_pylist() for i in range(3))
-        z = _product(indices, values, coefficients)
+        if not len(batch):
+            continue
+        rows = _Rows(*_unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float64)[1], width - 1)
+        z = rows.product(coefficients)
+        sizes, ones = _unpacked(batch.column(2), np.int32)
         y = np.zeros_like(z)
-        for i, own in enumerate(ones):
-            y[i, own] = 1.0
+        y[np.repeat(np.arange(len(batch)), sizes), ones] = 1.0
         w = np.where(y == 1, weights[None, :], 1.0)
-        with np.errstate(over="ignore"):
-            error = w * (1 / (1 + np.exp(-z)) - y)
-        row, at, x = _sparse(indices, values)
-        for head in range(heads):
-            total[head, : width - 1] += np.bincount(at, x * error[row, head], width - 1)[: width - 1]
+        # One exponential serves both the probability and the loss.
+        small = np.exp(-np.abs(z))
+        error = w * (np.where(z >= 0, 1.0, small) / (1 + small) - y)
+        total[:, : width - 1] += rows.gathered(error)
         total[:, width - 1] += error.sum(axis=0)
-        total[:, width] += (w * (np.logaddexp(0, z) - y * z)).sum(axis=0)
+        total[:, width] += (w * (np.maximum(z, 0) + np.log1p(small) - y * z)).sum(axis=0)
         total[:, width + 1] += w.sum(axis=0)
     cells = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], names=["cell", "value"])
@@ -107,7 +154,8 @@ def fit_heads(rows: DataFrame, heads: int, width: int, weights: Sequence[float],
     """
     if heads * (width + 1) > MODEL_CELLS:
         raise ValueError(f"{heads} heads of {width} coefficients are more than a fit holds.")
-    table = durable(rows.select(F.transform("indices", lambda i: i.cast("int")).alias("indices"), F.transform("values", lambda x: x.cast("double")).alias("values"), "ones"))
+    typed = rows.select(*[F.col(c).cast(f"array<{kind}>").alias(c) for c, kind in (("indices", "int"), ("values", "double"), ("ones", "int"))])
+    table = durable(typed.mapInArrow(_pack, "indices binary, values binary, ones binary"))
     weight = np.asarray(weights, float)
 
     def evaluate(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +220,7 @@ def head_scores(rows: DataFrame, model: Heads, names: Sequence[int], keep: Seque
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = 1 / (1 + np.exp(-np.clip(shared.value.log_odds(batch.column(0).to_pylist(), batch.column(1).to_pylist()), -700, 700)))
+            score = 1 / (1 + np.exp(-np.clip(shared.value.log_odds(batch.column(0), batch.column(1)), -700, 700)))
             place = pa.array(np.repeat(np.arange(len(batch)), len(labels)))
             columns = [batch.column(2 + i).take(place) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(labels, len(batch))), pa.array(score.ravel())], names=[*keep, name, "score"])
@@ -182,11 +230,15 @@ def head_scores(rows: DataFrame, model: Heads, names: Sequence[int], keep: Seque
 
 
 def pair_logistic(rows: DataFrame, width: int, label: str = "label", train: str = "partition = 'train'", reg: float = 1e-3, steps: int = 100) -> tuple[DataFrame, Heads]:
-    """rows(indices, values, label, ...) with a ``score`` from a model of the training rows; and the model."""
+    """rows(indices, values, label, ...) with a ``score`` from a model of the training rows; and the model.
+
+    Features are made once, for the fit and the scores, and so are the scores.
+    """
+    rows = durable(rows)
     ones = F.when(F.col(label) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("ones")
     model = fit_heads(rows.filter(train).select("indices", "values", ones), 1, width, [1.0], reg, steps)
     keep = [c for c in rows.columns if c not in ("indices", "values")]
-    return head_scores(rows, model, [0], keep, "_head").drop("_head"), model
+    return durable(head_scores(rows, model, [0], keep, "_head").drop("_head")), model
 
 
 def event_logistic(
@@ -194,6 +246,7 @@ def event_logistic(
 ) -> DataFrame:
     """rows(pair_id, partition, indices, values) to pair_id, event_idx, score: a weighted head per event of the vocabulary, all
     fitted together, the training prior elsewhere. The vocabulary is small by contract: heads x ``width`` is the model's size."""
+    rows = durable(rows)
     chosen = vocabulary.select(F.col("event_idx").cast("long").alias("event_idx"), F.col("pos_weight").cast("double").alias("pos_weight")).orderBy("event_idx").collect()
     known = prior.join(vocabulary.select("event_idx"), "event_idx", "left_anti")
     base = known.agg(F.collect_list(F.struct(F.col("event_idx").cast("long").alias("event_idx"), F.col("prior").alias("score")))).scalar()

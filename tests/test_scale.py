@@ -3,9 +3,10 @@
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from doseweave.operators import blocks, ranking, replicates, resampling
+from doseweave.operators import blocks, learning, ranking, replicates, resampling
 from doseweave.plans import hashing
 
 
@@ -111,3 +112,23 @@ def test_gain_of_replicates_is_that_of_exploded_pairs(spark):
     assert abs(got.gain - gain(1, dict.fromkeys(values, 1))) < 1e-9 and got.n_boot == 8
     boot = np.array([gain(r, w) for r, w in weights.items()])
     assert abs(got.ci_low - np.quantile(boot, 0.025)) < 1e-9 and abs(got.ci_high - np.quantile(boot, 0.975)) < 1e-9
+
+
+def test_a_fit_reads_rows_as_numbers(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) * (rng.random((300, 6)) < 0.7)
+    rows = [(np.flatnonzero(r).tolist(), r[r != 0].tolist(), [0] if rng.random() < 0.4 else []) for r in x]
+    df = spark.createDataFrame(rows, "indices array<int>, values array<double>, ones array<int>")
+    (packed,) = learning._pack([pa.RecordBatch.from_pydict(
+        {"i": pa.array([r[0] for r in rows], pa.list_(pa.int32())), "v": pa.array([r[1] for r in rows], pa.list_(pa.float64())), "o": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})])
+    sizes, at = learning._unpacked(packed.column(0).slice(7, 50), np.int32)
+    assert sizes.tolist() == [len(r[0]) for r in rows[7:57]] and at.tolist() == [i for r in rows[7:57] for i in r[0]]
+    coefficients = rng.normal(size=(2, 7))
+    for width in (6, 60):
+        wide = np.zeros((2, width + 1))
+        wide[:, :6], wide[:, -1] = coefficients[:, :6], coefficients[:, -1]
+        held = learning._Rows(*learning._flat(pa.array([r[0] for r in rows])), np.concatenate([r[1] for r in rows]), width)
+        assert (held.dense is None) == (width == 60)
+        assert np.allclose(held.product(wide), x @ coefficients[:, :6].T + coefficients[:, -1])
+        assert np.allclose(held.gathered(held.product(wide))[:, :6], held.product(wide).T @ x)
+    assert learning.fit_heads(df, 1, 6, [1.0]).converged.all()
