@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from doseweave.operators import blocks, learning, ranking, replicates, resampling
+from doseweave.operators import blocks, learning, ranking, replicates, resampling, similarity
 from doseweave.plans import hashing
 
 
@@ -132,3 +132,13 @@ def test_a_fit_reads_rows_as_numbers(spark):
         assert np.allclose(held.product(wide), x @ coefficients[:, :6].T + coefficients[:, -1])
         assert np.allclose(held.gathered(held.product(wide))[:, :6], held.product(wide).T @ x)
     assert learning.fit_heads(df, 1, 6, [1.0]).converged.all()
+
+
+def test_threshold_join_ships_numbers(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, sorted({int(x) for x in rng.integers(0, 60, 12)})) for i in range(200)]
+    df = spark.createDataFrame([*rows, (200, None), (201, [])], "id long, items array<int>")
+    out = similarity.tanimoto_pairs(df, df, 0.3)
+    want = {(i, j) for i, x in rows for j, y in rows if len({*x} & {*y}) >= 0.3 * len({*x} | {*y})}
+    assert {(r.left_id, r.right_id) for r in out.collect()} == want
+    assert max(counted(out, "shuffleBytesWritten")) < 600_000
