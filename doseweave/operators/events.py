@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.operators.clean import ContractError, canonical_pair, usable_edges
-from doseweave.plans.ordering import dense_ids, positions
+from doseweave.plans.ordering import dense_ids, dense_positions
 from doseweave.session import durable
 
 
@@ -44,19 +44,18 @@ def event_table(edges: DataFrame, a: str = "source", b: str = "target", event: s
     drugs = durable(dense_ids(ends, "smiles", "drug_idx"))
     events = durable(dense_ids(facts.groupBy("event").agg(F.count(F.lit(1)).alias("n_pairs")), "event", "event_idx"))
     n = drugs.agg(F.count(F.lit(1))).scalar()
-    coded = durable(
+    coded = (
         facts.join(drugs.select(F.col("smiles").alias("a"), F.col("drug_idx").alias("drug_a")), "a")
         .join(drugs.select(F.col("smiles").alias("b"), F.col("drug_idx").alias("drug_b")), "b")
         .join(events.select("event", "event_idx"), "event")
-        .withColumn("_n", n)
-        .select("drug_a", "drug_b", "event_idx", F.floor(F.col("drug_a") * PAIR_BUCKETS / F.col("_n")).alias("_cut"))
+        .select("drug_a", "drug_b", "event_idx").withColumn("_n", n)
+    )
+    # A drug is in fewer distinct pairs than there are drugs, so ranges of the pair grid are buckets of bounded size.
+    cut = F.floor((F.col("drug_a") * F.col("_n") + F.col("drug_b")) * PAIR_BUCKETS / (F.col("_n") * F.col("_n")))
+    numbered = dense_positions(coded, ["drug_a", "drug_b"], cut, ["drug_a", "drug_b", "event_idx"], "pair_id", "_first").withColumn("pair_id", F.col("pair_id") - 1)
+    return EventTable(
+        drugs, events, numbered.filter("_first").select("pair_id", "drug_a", "drug_b"), numbered.select("pair_id", "event_idx")
     )
-    # A drug is in fewer distinct pairs than there are drugs, so ranges of drugs are buckets of bounded size.
-    distinct = coded.select("drug_a", "drug_b", "_cut").distinct()
-    numbered = positions(distinct, ["drug_a", "drug_b"], F.col("_cut"), name="pair_id")
-    pairs = durable(numbered.select((F.col("pair_id") - 1).alias("pair_id"), "drug_a", "drug_b"))
-    labels = coded.join(pairs, ["drug_a", "drug_b"]).select("pair_id", "event_idx")
-    return EventTable(drugs, events, pairs, labels)
 
 
 def event_table_report(edges: DataFrame, a: str = "source", b: str = "target", event: str = "interaction_type") -> DataFrame:
@@ -159,13 +158,19 @@ def multitask_labels(edges: DataFrame, k: int, a: str = "source", b: str = "targ
 
 
 def label_grid(pairs: DataFrame, vocabulary: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every pair x vocabulary event, 0 where not reported. The frozen vocabulary travels as one small array."""
+    """Every pair x vocabulary event, 0 where not reported. The frozen vocabulary travels as one small array.
+
+    A pair meets its events before it is spread over the vocabulary, so cells are never shuffled.
+    """
     heads = vocabulary.agg(F.sort_array(F.collect_list("event_idx"))).scalar()
-    cells = pairs.select("pair_id").withColumn("_heads", heads).select("pair_id", F.explode("_heads").alias("event_idx"))
-    ones = labels.select("pair_id", "event_idx").distinct().withColumn("_one", F.lit(1))
-    return cells.join(ones, ["pair_id", "event_idx"], "left").select(
-        "pair_id", "event_idx", F.coalesce("_one", F.lit(0)).alias("label")
+    held = labels.withColumn("_heads", heads).filter(F.array_contains("_heads", F.col("event_idx"))).groupBy("pair_id").agg(
+        F.collect_set("event_idx").alias("_held")
+    )
+    cells = pairs.select("pair_id").join(held, "pair_id", "left").withColumn("_heads", heads).select(
+        "pair_id", "_held", F.explode("_heads").alias("event_idx")
     )
+    one = F.coalesce(F.array_contains("_held", F.col("event_idx")), F.lit(False))
+    return cells.select("pair_id", "event_idx", one.cast("int").alias("label"))
 
 
 def degree(pairs: DataFrame, a: str = "drug_a", b: str = "drug_b") -> DataFrame:

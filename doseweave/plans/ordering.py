@@ -83,6 +83,37 @@ def positions(
     )
 
 
+def written_positions(
+    df: DataFrame, order: Sequence[Column | str], bucket: Column, keep: Sequence[str], name: str = "position"
+) -> DataFrame:
+    """``keep`` columns and the 1-based position of each row, written once: rows and their order are worked out in one pass."""
+    tagged = df.withColumn("_bucket", bucket)
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).alias("_inside")
+    return _placed(durable(tagged.select("_bucket", inside, *keep)), name)
+
+
+def dense_positions(
+    df: DataFrame, keys: Sequence[str], bucket: Column, keep: Sequence[str], name: str, first: str
+) -> DataFrame:
+    """``keep`` columns and the 1-based position of a row's keys among the distinct ones; ``first`` marks one row of each.
+
+    One shuffle numbers rows and keys alike, written once. ``bucket`` is a function of the keys that rises with them.
+    """
+    window = Window.partitionBy("_bucket").orderBy(*keys)
+    opens = F.row_number().over(window) == 1
+    for key in keys:
+        opens = opens | ~F.lag(key).over(window).eqNullSafe(F.col(key))
+    tagged = df.select(bucket.alias("_bucket"), *dict.fromkeys([*keys, *keep]))
+    ranked = tagged.select("_bucket", F.dense_rank().over(window).alias("_inside"), *keep, opens.alias(first))
+    return _placed(durable(ranked), name)
+
+
+def _placed(ranked: DataFrame, name: str) -> DataFrame:
+    """Positions over all buckets; their totals are a written table, which the planner sees to be small."""
+    before = durable(_before(ranked.groupBy("_bucket").agg(F.max("_inside").cast("long").alias("n")), ["n"], []))
+    return ranked.join(before, "_bucket").withColumn(name, F.col("_before_n") + F.col("_inside")).drop("_bucket", "_inside", "_before_n")
+
+
 def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """0-based ids in sorted key order for a table with unique keys."""
     numbered = positions(with_key_bucket(df, key, "_cut"), [key], F.col("_cut"), name=name)
