@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doseweave.functions.text import norm_name, split_multi
 from doseweave.operators.clean import ContractError, canonical_pair, one_per
+from doseweave.session import durable
 
 # The ordinal severity scale.
 SEVERITIES = ("unknown", "minor", "moderate", "major")
@@ -335,18 +336,25 @@ def union_targets(first: DataFrame, second: DataFrame, names: tuple[str, str]) -
 
 
 def enrich_by_name_or_synonym(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Union of genes over the display name and every synonym; the existing list is kept where nothing matches."""
-    keys = F.array_distinct(
+    """Union of genes over the display name and every synonym; the existing list is kept where nothing matches.
+
+    Lists are united once per combination of names that some drug has, not once per drug.
+    """
+    keys = F.array_compact(F.array_distinct(
         F.transform(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), norm_name)
+    ))
+    owners = nodes.select("drug_idx", keys.alias("_k")).groupBy("drug_idx").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("_k")))).alias("_names")
     )
-    named = nodes.select("drug_idx", F.explode(keys).alias("_n"))
-    genes = evidence.select(norm_name(F.col("drug_name")).alias("_n"), "gene").distinct()
-    found = named.join(genes, "_n").select("drug_idx", "gene").distinct().groupBy("drug_idx").agg(
-        F.sort_array(F.collect_list("gene")).alias("_genes")
+    genes = evidence.select(norm_name(F.col("drug_name")).alias("_n"), "gene").distinct().filter("_n IS NOT NULL")
+    lists = genes.groupBy("_n").agg(F.collect_list("gene").alias("_g"))
+    united = (
+        owners.select("_names").distinct().withColumn("_n", F.explode("_names")).join(lists, "_n")
+        .groupBy("_names").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("_g")))).alias("_genes"))
     )
-    return nodes.join(found, "drug_idx", "left").withColumn("enriched", F.col("_genes").isNotNull()).withColumn(
-        "genes", F.coalesce("_genes", "genes")
-    ).drop("_genes")
+    return nodes.join(owners, "drug_idx", "left").join(durable(united), "_names", "left").withColumn(
+        "enriched", F.col("_genes").isNotNull()
+    ).withColumn("genes", F.coalesce("_genes", "genes")).drop("_genes", "_names")
 
 
 def best_match(candidates: DataFrame, key: str, wanted: str, primary: str, synonyms: str, order: str) -> DataFrame:

@@ -39,3 +39,19 @@ def test_cells_of_a_grid_are_not_shuffled(spark):
     got = {(r.pair_id, r.event_idx): r.label for r in out.collect()}
     assert len(got) == 20_000 and out.count() == 20_000 and all(y == (k in ones) for k, y in got.items())
     assert sum(counted(out, "shuffleRecordsWritten")) < 5000
+
+
+def test_genes_of_a_shared_name_do_not_multiply(spark):
+    nodes = spark.range(300).select(
+        F.col("id").alias("drug_idx"), F.lit("Shared").alias("name"), F.array(F.lit("Other")).alias("synonyms"), F.array(F.lit("own")).alias("genes")
+    ).unionByName(spark.createDataFrame([(300, "none", None, ["own"]), (None, "shared", None, ["own"]), (301, None, ["other"], None)],
+                                        "drug_idx long, name string, synonyms array<string>, genes array<string>"))
+    evidence = spark.range(400).select(F.lit("shared").alias("drug_name"), F.concat(F.lit("G"), F.col("id")).alias("gene")).unionByName(
+        spark.createDataFrame([("OTHER", "G0"), ("other", "A"), (None, "B")], "drug_name string, gene string"))
+    out = identity.enrich_by_name_or_synonym(nodes, evidence)
+    got = {r.drug_idx: (r.genes, r.enriched) for r in out.collect()}
+    every = sorted({"A", *[f"G{i}" for i in range(400)]})
+    assert out.columns == ["drug_idx", "name", "synonyms", "genes", "enriched"]
+    assert got[0] == (every, True) and got[299] == got[0] and got[301] == (["A", "G0"], True)
+    assert got[300] == (["own"], False) and got[None] == (["own"], False) and len(got) == 303
+    assert max(counted(out, "numOutputRows")) <= 2000
