@@ -55,3 +55,15 @@ def test_genes_of_a_shared_name_do_not_multiply(spark):
     assert got[0] == (every, True) and got[299] == got[0] and got[301] == (["A", "G0"], True)
     assert got[300] == (["own"], False) and got[None] == (["own"], False) and len(got) == 303
     assert max(counted(out, "numOutputRows")) <= 2000
+
+
+def test_a_matrix_is_spread_out_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "MATRIX_CELLS", 200)
+    drugs = spark.range(60).select(F.col("id").alias("drug"))
+    items = spark.range(120).select((F.col("id") % 50).alias("drug"), F.concat(F.lit("i"), F.lpad((F.col("id") % 30).cast("string"), 2, "0")).alias("item"))
+    out = blocks.feature_matrix(drugs, {"x": blocks.item_block(drugs, items)})
+    want = {d: [0] * 31 for d in range(60)}
+    for i in range(120):
+        want[i % 50][i % 30] = want[i % 50][30] = 1
+    assert {r.drug: r.features for r in out.collect()} == want
+    assert out.rdd.getNumPartitions() == 9
