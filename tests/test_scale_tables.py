@@ -67,3 +67,13 @@ def test_a_matrix_is_spread_out_in_tasks_of_bounded_size(spark, monkeypatch):
         want[i % 50][i % 30] = want[i % 50][30] = 1
     assert {r.drug: r.features for r in out.collect()} == want
     assert out.rdd.getNumPartitions() == 9
+
+
+def test_a_thin_request_draws_little_more_than_it_wants(spark, monkeypatch):
+    pairs = spark.range(4000).select((F.col("id") * 2).alias("drug_a"), (F.col("id") * 2 + 1).alias("drug_b"))
+    counts, real = [], negatives._draws
+    monkeypatch.setattr(negatives, "_draws", lambda s, a, b, n, seed: counts.append(n) or real(s, a, b, n, seed))
+    short = {tuple(r) for r in negatives.sample_unreported(pairs, 1.0, "degree_matched", 3).collect()}
+    monkeypatch.setattr(negatives, "THIN", 1 << 40)
+    assert short == {tuple(r) for r in negatives.sample_unreported(pairs, 1.0, "degree_matched", 3).collect()}
+    assert len(short) == 4000 and counts == [5250, 9000]
