@@ -77,3 +77,32 @@ def test_a_thin_request_draws_little_more_than_it_wants(spark, monkeypatch):
     monkeypatch.setattr(negatives, "THIN", 1 << 40)
     assert short == {tuple(r) for r in negatives.sample_unreported(pairs, 1.0, "degree_matched", 3).collect()}
     assert len(short) == 4000 and counts == [5250, 9000]
+
+
+@pytest.mark.parametrize("items", [150, 10_000])
+def test_nearest_in_shards_by_items(spark, monkeypatch, items):
+    monkeypatch.setattr(similarity, "REFERENCE_ITEMS", items)
+    monkeypatch.setattr(similarity, "QUERY_ITEMS", 100)
+    rows = sets(70, 9, 4)
+    df = spark.createDataFrame(rows, "id long, items array<int>")
+    got = similarity.nearest(df, df, 2, exclude_self=True).toPandas()
+    for i, x in rows:
+        want = sorted((-brute(x, y), j) for j, y in rows if j != i)[:2]
+        mine = got[got.id == i].sort_values("rank")
+        assert [(round(-s, 9), j) for s, j in want] == [(round(s, 9), j) for s, j in zip(mine.similarity, mine.neighbour, strict=True)]
+
+
+def test_items_are_numbered_without_gaps(spark):
+    df = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(sets(50, 2, 3))], "id long, items array<int>")
+    numbers = similarity._numbers(df.filter("id < 20"), df.filter("id >= 20")).orderBy("number").toPandas()
+    assert numbers.number.dtype == "int32" and numbers.number.tolist() == list(range(len(numbers)))
+    assert numbers.f.is_monotonic_increasing and set(numbers["item"]) == {i for _, x in sets(50, 2, 3) for i in x}
+
+
+def test_overlaps_hold_a_bounded_matrix(monkeypatch):
+    monkeypatch.setattr(similarity, "MEMBERSHIP", 60)
+    items = pd.Series([x for _, x in sets(30, 3, 2)] + [[]])
+    want = [[len(set(x) & set(y)) for y in items] for x in items]
+    rows, codes = similarity._cells(items)
+    assert similarity._overlaps(items, items).tolist() == want
+    assert similarity._overlaps(items, items, (rows, codes, pd.unique(codes))).tolist() == want
