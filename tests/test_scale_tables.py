@@ -106,3 +106,20 @@ def test_overlaps_hold_a_bounded_matrix(monkeypatch):
     rows, codes = similarity._cells(items)
     assert similarity._overlaps(items, items).tolist() == want
     assert similarity._overlaps(items, items, (rows, codes, pd.unique(codes))).tolist() == want
+
+
+def test_only_reported_analog_pairs_join(spark, monkeypatch):
+    """Pairs of analogs beyond the third are not made for the audit, and labels of 0 don't travel."""
+    rows = [(i, [i, i + 1, i + 2]) for i in range(12)]
+    drugs = spark.createDataFrame(rows, "id long, items array<int>")
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12)]
+    train = spark.createDataFrame([(a, b, float((a + b) % 2)) for a, b in pairs], "drug_a long, drug_b long, label double")
+    written, real = [], similarity.durable
+    monkeypatch.setattr(similarity, "durable", lambda df: written.append(real(df)) or written[-1])
+    audit = similarity.memory_audit(train.select("drug_a", "drug_b"), train, drugs, 5)
+    near = {i: sorted((-brute(x, y), j) for j, y in rows)[:3] for i, x in rows}
+    want = {(a, b, c, d, float((c + d) % 2) if c != d else 0.0) for a, b in pairs for _, c in near[a] for _, d in near[b]}
+    assert {(r.drug_a, r.drug_b, r.analog_a, r.analog_b, r.observed_interaction) for r in audit.collect()} == want
+    assert audit.count() == len(pairs) * 9 and max(counted(audit, "numOutputRows")) <= len(pairs) * 9
+    labels = [t for t in written if "label" in t.columns]
+    assert len(labels) == 1 and {r.label for r in labels[0].collect()} == {1.0}
