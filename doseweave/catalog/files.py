@@ -103,12 +103,12 @@ FROM lineitem GROUP BY 1"""
 def bulk_label_documents(t: Tables) -> DataFrame:
     """Bulk documents that are longer than a line, with braces, brackets and quotes in their texts."""
     path = scratch(t, "bulk")
-    label = F.struct(
-        F.struct(F.array(F.concat("l_linestatus", "l_orderkey")).alias("substance_name")).alias("openfda"),
-        F.array(F.concat("l_returnflag", "l_linenumber", F.lit('} ],"'))).alias("drug_interactions"), F.lit('\\"{[').alias("other"))
-    documents = t.lineitem.groupBy("l_suppkey").agg(F.collect_list(label).alias("results"))
+    documents = t.lineitem.groupBy("l_suppkey").agg(F.collect_list(F.struct("l_linestatus", "l_orderkey", "l_returnflag", "l_linenumber")).alias("rows"))
+    results = F.transform("rows", lambda r: F.struct(
+        F.struct(F.array(F.concat(r["l_linestatus"], r["l_orderkey"])).alias("substance_name")).alias("openfda"),
+        F.array(F.concat(r["l_returnflag"], r["l_linenumber"], F.lit('} ],"'))).alias("drug_interactions"), F.lit('\\"{[').alias("other")))
     meta = F.struct(F.lit("terms [{").alias("terms"), F.struct(F.lit(1).alias("limit")).alias("results")).alias("meta")
-    documents.select(F.to_json(F.struct(meta, "results"), {"pretty": "true"}).alias("value")).write.text(path)
+    documents.select(F.to_json(F.struct(meta, results.alias("results")), {"pretty": "true"}).alias("value")).write.text(path)
     out = readers.read_label_documents(t.spark, path)
     name = F.get("openfda.substance_name", F.lit(0))
     return out.groupBy(F.get("drug_interactions", F.lit(0)).alias("text")).agg(

@@ -43,3 +43,15 @@ def test_a_file_that_breaks_off_gives_its_whole_records(spark, tmp_path):
     text = json.dumps({"results": list(_labels(9))})
     (tmp_path / "cut.json").write_text(text[: len(text) - 60])
     assert bulk_json.record_texts(spark, str(tmp_path)).count() == 8
+
+
+def test_records_are_cut_in_place_and_not_moved(spark, tmp_path, monkeypatch):
+    labels = list(_labels(8000))
+    (tmp_path / "big.json").write_text(json.dumps({"results": labels}, indent=1))
+    written = []
+    durable = bulk_json.durable
+    monkeypatch.setattr(bulk_json, "durable", lambda df, **options: written.append(durable(df, **options)) or written[-1])
+    rows = bulk_json.record_texts(spark, str(tmp_path)).orderBy("record_number").collect()
+    assert [json.loads(r["record"]) for r in rows] == labels
+    counts = [t.count() for t in written]
+    assert max(counts) > 4 and sum(counts) < len(labels) / 10
