@@ -265,9 +265,11 @@ def severity_forest(rows: DataFrame, group: str, target: str, seeds: Sequence[in
                     depth: int = 5, grid: Sequence[int] | None = None, key: str = "id") -> DataFrame:
     """rows(id, group, features, target) to out-of-fold predictions: mean of the seeds, clipped to [0, 1].
 
-    Folds share no group. With a grid of depths the one with the least first-seed error is used.
+    Folds share no group. With a grid of depths the one with the least first-seed error is used. Every task of every pass
+    answers the driver, so forests read a written table, whose tasks are as many as its bytes ask for and not one per shuffle
+    partition. Spark draws a tree's rows by partition, so a forest is repeatable for the same partitions only.
     """
-    tagged = group_folds(rows, group, folds).cache()
+    tagged = durable(group_folds(rows, group, folds)).cache()
 
     def out_of_fold(seed: int, d: int) -> DataFrame:
         parts = None

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from doseweave.operators import learning, metrics, resampling
@@ -73,3 +74,18 @@ def test_signed_ranks_are_exact_at_any_length():
     below = resampling.signed_rank_p(long[:40]), resampling.signed_rank_p(long)
     assert all(0 < p < 1 for p in below)
     assert abs(resampling.signed_rank_p([1.0] * 50) - 2 * 0.5**50) < 1e-18
+
+
+def test_forest_tasks_follow_the_rows_and_not_the_shuffle(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "id % 40 AS group", "id / 400 AS target", "array(double(id % 7), double(id) / 400) AS f")
+    rows = rows.select("id", "group", "target", array_to_vector("f").alias("features"))
+    seen, fit = [], learning.RandomForestRegressor.fit
+    monkeypatch.setattr(learning.RandomForestRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        out = learning.severity_forest(rows, "group", "target", seeds=(0,), folds=2, trees=3, depth=3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 2 and max(seen) <= 8
+    assert len(out) == 400 and sum(abs(r.prediction - r.target) for r in out) / 400 < 0.15
