@@ -17,6 +17,8 @@ from doseweave.session import durable
 
 #: Past steps that shape the next one; largest gradient of a head that has converged; cells (heads times coefficients) of a fit.
 MEMORY, TOLERANCE, MODEL_CELLS = 10, 1e-6, 1 << 22
+#: Tasks of a forest's pass up to which it reads the partitions of a shuffle as they are.
+FOREST_TASKS = 32
 
 
 def bit_pair_features(bits_a: Column, bits_b: Column, size: int) -> tuple[Column, Column]:
@@ -266,10 +268,13 @@ def severity_forest(rows: DataFrame, group: str, target: str, seeds: Sequence[in
     """rows(id, group, features, target) to out-of-fold predictions: mean of the seeds, clipped to [0, 1].
 
     Folds share no group. With a grid of depths the one with the least first-seed error is used. Every task of every pass
-    answers the driver, so forests read a written table, whose tasks are as many as its bytes ask for and not one per shuffle
-    partition. Spark draws a tree's rows by partition, so a forest is repeatable for the same partitions only.
+    answers the driver: beyond ``FOREST_TASKS`` shuffle partitions forests read a written table, whose tasks are as many as its
+    bytes ask for. Spark draws a tree's rows by partition, so a forest is repeatable for the same partitions only.
     """
-    tagged = durable(group_folds(rows, group, folds)).cache()
+    tagged = group_folds(rows, group, folds).cache()
+    if tagged.rdd.getNumPartitions() > FOREST_TASKS:
+        shuffled, tagged = tagged, durable(tagged).cache()
+        shuffled.unpersist()
 
     def out_of_fold(seed: int, d: int) -> DataFrame:
         parts = None
