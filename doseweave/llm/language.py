@@ -160,7 +160,8 @@ def fit(
     """Fits on up to about ``rows`` texts of each non-null ``lang``, those with the lowest hash of ``doc_id``.
 
     Floors come from cosines of whole texts and of their starts, each with centroids of the other half of the sample.
-    Trigrams are counted on the executors; the driver gets the distinct trigrams of each sampled text and start.
+    Trigrams are counted on the executors; the driver gets the distinct trigrams of each sampled text and start, as
+    Arrow batches that pass through its JVM as they are.
     """
     keyed = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "text", F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("string").alias("doc_id")
@@ -190,12 +191,12 @@ def fit(
 
     sample = map_texts(
         chosen.select("lang", "doc_id", "text"), work, "trigrams array<binary>, counts array<binary>", keep=["lang", "doc_id"], piece=PIECE
-    ).collect()
-    sample = sorted((r for r in sample if len(r.trigrams[0])), key=lambda r: (r.lang, r.doc_id or "", bytes(r.trigrams[0]), bytes(r.counts[0])))
+    ).toArrow().to_pylist()
+    sample = sorted((r for r in sample if len(r["trigrams"][0])), key=lambda r: (r["lang"], r["doc_id"] or "", r["trigrams"][0], r["counts"][0]))
     if not sample:
         return nothing
-    names = np.array([r.lang for r in sample], dtype=object)
-    vectors = [[(np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for t, n in zip(r.trigrams, r.counts, strict=True)] for r in sample]
+    names = np.array([r["lang"] for r in sample], dtype=object)
+    vectors = [[(np.frombuffer(t, np.int64), np.frombuffer(n, np.int64)) for t, n in zip(r["trigrams"], r["counts"], strict=True)] for r in sample]
     model = _centroids([v[0] for v in vectors], names, centroids)
     cosines = []
     halves = np.arange(len(sample)) % 2 == 0

@@ -169,27 +169,31 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``label``, the smallest id reachable, for all ids of ``links`` (``a``, ``b``).
 
     Every round replaces a link by one from each end to the smallest neighbour, and then by the neighbour's own; chains
-    shorten geometrically. Links are durable between rounds.
+    shorten geometrically. Links are durable after each half of a round, so a plan reads a table twice and no more, and
+    rounds end as soon as every id but a smallest one has a single link.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    ids = durable(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct())
-    before = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
+    ids = durable(_ends(edges, ("a",), ("b",)).select(F.col("a").alias("id")).distinct())
+    while not _settled(edges):
+        both = _ends(edges, ("a", "b"), ("b", "a"), ("a", "a"))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(lowest, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(lowest.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = durable(both.join(lowest, "a").filter("b >= a AND m < b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = durable(
-            large.join(small, "a").filter(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(small.select("a", F.col("m").alias("b"))).distinct()
-        )
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    lows = edges.groupBy("a").agg(F.min("b").alias("b"))
-    return ids.join(lows, ids.id == lows.a, "left").select("id", F.coalesce("b", "id").alias("label"))
+        edges = durable(_ends(large.join(small, "a"), ("b", "m"), ("a", "m")).filter("a > b").distinct())
+    return ids.join(edges, ids.id == edges.a, "left").select("id", F.coalesce("b", "id").alias("label"))
+
+
+def _ends(edges: DataFrame, *rows: tuple[str, ...]) -> DataFrame:
+    """A row ``a``, ``b`` (or ``a`` alone) of each named choice of columns, from one pass."""
+    made = [F.struct(*[F.col(c).alias(name) for c, name in zip(row, "ab", strict=False)]) for row in rows]
+    return edges.select(F.explode(F.array(*made)).alias("row")).select("row.*")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every id has a single link to a smaller one that has none: another round would change nothing."""
+    up = _ends(edges.select("a", "b", F.lit(1).alias("one"), F.lit(0).alias("none")), ("a", "one"), ("b", "none"))
+    places = up.groupBy("a").agg(F.sum("b").alias("links"), F.min("b").alias("least"))
+    return places.filter("links > 1 OR links = 1 AND least = 0").isEmpty()
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> list[int]:
