@@ -46,6 +46,8 @@ class FrequencyTable:
         self.start = np.cumsum(self.freq) - self.freq
         self.filler = int(self.freq.argmax())
         self.symbol = np.repeat(np.arange(size, dtype=np.uint32), self.freq.astype(np.int64))
+        #: Per slot the frequency of its symbol in the high half and its place among the symbol's slots in the low half.
+        self.slots = (self.freq[self.symbol] << WORD) + np.arange(len(self.symbol), dtype=np.uint64) - self.start[self.symbol]
 
 
 def encode(ids: np.ndarray, table: FrequencyTable) -> bytes:
@@ -85,23 +87,23 @@ def decode(block: bytes, table: FrequencyTable) -> np.ndarray:
     state = np.frombuffer(block, "<u8", parts * lanes, at + 4 * parts).astype(np.uint64).reshape(parts, lanes)
     words = np.frombuffer(block, "<u4", length, at + 4 * parts + 8 * parts * lanes).astype(np.uint64)
     rows = -(-count // lanes)
-    grid = np.zeros((parts * every, lanes), np.uint32)
-    scale, mask = np.uint64(SCALE), np.uint64((1 << SCALE) - 1)
+    grid = np.zeros((parts, every, lanes), np.uint32)
+    scale, mask, half = np.uint64(SCALE), np.uint64((1 << SCALE) - 1), np.uint64((1 << 32) - 1)
     last = rows - (parts - 1) * every
     for step in range(every if parts > 1 else last if parts else 0):
         live = parts if step < last else parts - 1
         x = state[:live]
-        slot = x & mask
-        ids = table.symbol[slot]
-        grid[step : live * every : every] = ids
-        x = table.freq[ids] * (x >> scale) + slot - table.start[ids]
+        grid[:live, step] = slot = x & mask
+        found = table.slots.take(slot.view(np.int64))
+        x >>= scale
+        x *= found >> WORD
+        x += found & half
         low = x < LOW
-        taken = low.cumsum(axis=1)
-        index = (place[:live, None] + taken - 1)[low]
+        taken = np.count_nonzero(low, axis=1)
+        index = np.arange(taken.sum()) + np.repeat(place[:live] - taken.cumsum() + taken, taken)
         x[low] = (x[low] << WORD) | words[index]
-        place[:live] += taken[:, -1]
-        state[:live] = x
-    out = grid[:rows].reshape(-1)[:count].astype("<u4")
+        place[:live] += taken
+    out = table.symbol[grid.reshape(-1)[:count]].astype("<u4")
     if zlib.crc32(out.tobytes()) != check:
         raise ValueError("checksum of a block doesn't match")
     return out

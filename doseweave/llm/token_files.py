@@ -14,7 +14,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from uuid import uuid4
 
@@ -30,15 +30,25 @@ from doseweave.llm.common import checkpoint_dir, pieces
 from doseweave.llm.entropy_coding import FrequencyTable, decode, encode
 
 END_ID = 1
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 19
 MEMO_WORDS = 3 << 17
 RAW = pa.schema([("part", pa.int32()), ("begin", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("ids", pa.binary())])
 
 
 #: A word of letters whose lower case and composition are one to one, then marks that form one token group; or any other.
-PLAIN = re.compile(
-    "^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|()=+-]*)|([^\n]*))$", re.MULTILINE
-)
+PLAIN = re.compile(r"(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([.,;:!?#$%&*|()=+-]*)|(.*))\Z", re.DOTALL)
+
+
+class Memory(dict):
+    """Values by key, made when first asked for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 class WordTokenizer:
@@ -56,33 +66,27 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         letters = [chr(c) for c in (*range(97, 123), *range(0xDF, 0x100)) if c != 0xF7]
         self.table = str.maketrans({c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.letters, self.others = Memory(self.word), Memory(self.of_letters), Memory(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        if len(self.parts) > MEMO_WORDS:
-            self.parts.clear()
-        new = list(words.difference(self.words))
-        if not new:
-            return
-        split = PLAIN.findall(b"\n".join(new).decode("utf-8", "replace"))
-        parts, tokenize, table = self.parts, self.tokenizer.model.tokenize, self.table
-        for letters in {plain.lower() for plain, _, _ in split}.difference(parts):
-            parts[letters] = struct_ids([t.id for t in tokenize(letters.translate(table))])
-        for other in {x for _, marks, text in split for x in (marks, text)}.difference(parts):
-            parts[other] = self.whole(other)
-        parts[""] = b""
-        self.words.update((w, parts[a.lower()] + parts[b] + parts[c]) for w, (a, b, c) in zip(new, split, strict=True))
+        return struct_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def of_letters(self, text: str) -> bytes:
+        return struct_ids([t.id for t in self.tokenizer.model.tokenize(text.translate(self.table))])
+
+    def word(self, word: bytes) -> bytes:
+        letters, marks, other = PLAIN.match(word.decode("utf-8", "replace")).groups()
+        if letters is None:
+            return self.others[other]
+        ids = self.letters[letters.lower()]
+        return ids + self.others[marks] if marks else ids
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.split() for text in texts]
-        self.learn(set().union(*split))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for memory in (self.words, self.letters, self.others):
+            if len(memory) > MEMO_WORDS:
+                memory.clear()
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, text.split())) for text in texts]
 
 
 def struct_ids(ids: list[int]) -> bytes:
