@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doseweave.catalog.evaluation import rounded
-from doseweave.catalog.pairs import VOCAB_SQL, partitions, supplier_table, train_pairs
+from doseweave.catalog.pairs import VOCAB_SQL, partition, supplier_table, train_pairs
 from doseweave.catalog.registry import Tables, query
 from doseweave.functions import numeric
 from doseweave.operators import blocks, events, learning, metrics, ranking
@@ -244,12 +244,11 @@ def supplier_features(t: Tables) -> DataFrame:
         F.array(*[F.avg((F.col("l_partkey") % 16 == i).cast("double")) for i in range(16)]).alias("features"))
 
 
-def event_pairs(t: Tables) -> tuple[events.EventTable, DataFrame]:
+def event_pairs(t: Tables) -> tuple[events.EventTable, learning.FeatureTable | DataFrame, DataFrame]:
     table = supplier_table(t)
     names = table.drugs.select("drug_idx", F.substring("smiles", 2, 20).cast("long").alias("drug"))
-    feats = supplier_features(t).join(names, "drug").select(F.col("drug_idx").alias("drug"), "features")
-    rows = learning.pair_rows(table.pairs, feats).join(partitions(table), "pair_id")
-    return table, rows
+    feats = learning.feature_table(supplier_features(t).join(names, "drug").select(F.col("drug_idx").alias("drug"), "features"))
+    return table, feats, learning.pair_rows(table.pairs.withColumn("partition", partition()), feats)
 
 
 #: Three symmetric features per supplier feature.
@@ -266,10 +265,10 @@ def pair_logistic_balance(t: Tables) -> DataFrame:
 
 
 def labelled_pairs(t: Tables):
-    table, rows = event_pairs(t)
+    table, feats, rows = event_pairs(t)
     ones = table.labels.filter("event_idx = 0").select("pair_id", F.lit(1).alias("label")).distinct()
     labelled = rows.join(ones, "pair_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
-    return learning.pair_logistic(labelled, PAIR_WIDTH)
+    return learning.pair_logistic(labelled, PAIR_WIDTH, features=feats, keep=["partition", "label"])
 
 
 @query()
@@ -283,14 +282,12 @@ def pair_logistic_auroc(t: Tables) -> DataFrame:
 )
 def event_logistic_scores(t: Tables) -> DataFrame:
     """All events of the vocabulary. A positive weighs negatives / positives, so at the optimum the weighted mean score is a half."""
-    table, rows = event_pairs(t)
+    table, feats, rows = event_pairs(t)
     vocabulary = events.pos_weights(events.freeze_vocabulary(table.labels, train_pairs(table), min_pos=20))
     prior = events.frequency_prior(table.labels, train_pairs(table), vocabulary)
-    scores = learning.event_logistic(rows, table.labels, vocabulary, prior, PAIR_WIDTH)
-    seen = scores.join(rows.select("pair_id", "partition"), "pair_id").join(
-        table.labels.select("pair_id", F.col("event_idx").cast("long").alias("event_idx"), F.lit(1).alias("y")), ["pair_id", "event_idx"], "left")
+    seen = learning.event_logistic(rows, table.labels, vocabulary, prior, PAIR_WIDTH, features=feats, keep=["partition"], label="positive")
     seen = seen.join(vocabulary.select("event_idx", "pos_weight"), "event_idx")
-    train, positive = F.col("partition") == "train", F.col("y").isNotNull()
+    train, positive = F.col("partition") == "train", F.col("positive")
     weight = F.when(train, F.when(positive, F.col("pos_weight")).otherwise(1.0))
     return seen.groupBy("event_idx").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(train & positive).alias("train_pos"),

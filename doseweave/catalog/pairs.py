@@ -142,9 +142,13 @@ parts AS (SELECT pair_id, CASE WHEN x AND y THEN 'train' WHEN NOT x AND NOT y TH
 """
 
 
-def partitions(table: events.EventTable) -> DataFrame:
+def partition() -> Column:
     a, b = known("drug_a"), known("drug_b")
-    return table.pairs.select("pair_id", F.when(a & b, "train").when(~a & ~b, "s1").otherwise("s2").alias("partition"))
+    return F.when(a & b, "train").when(~a & ~b, "s1").otherwise("s2")
+
+
+def partitions(table: events.EventTable) -> DataFrame:
+    return table.pairs.select("pair_id", partition().alias("partition"))
 
 
 @query(

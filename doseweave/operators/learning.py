@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from doseweave.session import durable
 
 #: Past steps that shape the next one; largest gradient of a head that has converged; cells (heads times coefficients) of a fit.
 MEMORY, TOLERANCE, MODEL_CELLS = 10, 1e-6, 1 << 22
+#: Values of a feature table up to which every task holds it.
+FEATURE_CELLS = 1 << 24
 #: Tasks of a forest's pass up to which it reads the partitions of a shuffle as they are.
 FOREST_TASKS = 32
 
@@ -36,10 +39,55 @@ def dense_pair_features(a: Column, b: Column, mode: str = "symmetric") -> tuple[
     return F.transform(kept, lambda f: f["i"]), F.transform(kept, lambda f: f["x"])
 
 
-def pair_rows(pairs: DataFrame, features: DataFrame, mode: str = "symmetric", bits: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class FeatureTable:
+    """Dense features by drug that every task holds: rows(drug, at), and ``values`` in the order of the sorted ``at``, missing ones as 0."""
+
+    rows: DataFrame
+    mode: str
+    shared: Broadcast
+
+    def cells(self, a: pa.Array, b: pa.Array) -> np.ndarray:
+        """The pair features of the rows that have these numbers, as ``dense_pair_features`` makes them."""
+        at, values, missing = self.shared.value
+        i, j = (np.searchsorted(at, x.to_numpy(zero_copy_only=False)) for x in (a, b))
+        x, y = values[i], values[j]
+        if self.mode == "concat":
+            return np.hstack([x, y])
+        out = np.hstack([x + y, np.abs(x - y), x * y])
+        if missing is not None:
+            out[np.tile(missing[i] | missing[j], 3)] = 0.0
+        return out
+
+
+def feature_table(features: DataFrame, mode: str = "symmetric") -> FeatureTable | DataFrame:
+    """features(drug, features) as a table that every task holds, so that a pair is written as two numbers and not as its features.
+
+    Features that aren't doubles of one length, or are more than ``FEATURE_CELLS``, come back as they are.
+    """
+    if dict(features.dtypes)["features"] != "array<double>":
+        return features
+    written = durable(features.select("drug", "features").withColumn("at", F.monotonically_increasing_id()))
+    size = written.agg(F.count(F.lit(1)).alias("n"), F.count("features").alias("full"), F.min(F.size("features")).alias("least"), F.max(F.size("features")).alias("most")).head()
+    if not size.n or size.full < size.n or size.least != size.most or not 0 < size.n * size.most <= FEATURE_CELLS:
+        return written.drop("at")
+    held = written.select("at", "features").toArrow().combine_chunks()
+    at, lists = (held.column(i).combine_chunks() for i in (0, 1))
+    order = np.argsort(at.to_numpy())
+    flat = lists.flatten()
+    missing = flat.is_null().to_numpy(zero_copy_only=False).reshape(size.n, -1)[order] if flat.null_count else None
+    values = flat.fill_null(0.0).to_numpy().reshape(size.n, -1)[order]
+    return FeatureTable(written.select("drug", "at"), mode, features.sparkSession.sparkContext.broadcast((at.to_numpy()[order], values, missing)))
+
+
+def pair_rows(pairs: DataFrame, features: DataFrame | FeatureTable, mode: str = "symmetric", bits: int | None = None) -> DataFrame:
     """pairs(drug_a, drug_b, ...) x features(drug, features) with sparse ``indices`` and ``values``; with ``bits``, features are
-    on-bit positions below it."""
+    on-bit positions below it. With a feature table, its numbers ``at_a`` and ``at_b`` stand for them."""
     out = pairs
+    if isinstance(features, FeatureTable):
+        for side in ("a", "b"):
+            out = out.join(features.rows.select(F.col("drug").alias(f"drug_{side}"), F.col("at").alias(f"at_{side}")), f"drug_{side}")
+        return out
     for side in ("a", "b"):
         out = out.join(features.select(F.col("drug").alias(f"drug_{side}"), F.col("features").alias(f"_f{side}")), f"drug_{side}")
     a, b = F.col("_fa"), F.col("_fb")
@@ -55,7 +103,9 @@ class Heads:
     gradient: np.ndarray
     converged: np.ndarray
 
-    def log_odds(self, indices: pa.Array, values: pa.Array) -> np.ndarray:
+    def log_odds(self, indices: pa.Array, values: pa.Array, features: FeatureTable | None = None) -> np.ndarray:
+        if features:
+            return _Rows.of(features.cells(indices, values), self.coefficients.shape[1] - 1).product(self.coefficients)
         return _Rows(*_flat(indices), _flat(values)[1], self.coefficients.shape[1] - 1).product(self.coefficients)
 
 
@@ -95,6 +145,14 @@ class _Rows:
         if len(x) and len(x) >= DENSE_SHARE * self.n * width:
             self.dense = np.bincount(self.row * width + at, x, self.n * width).reshape(self.n, width)
 
+    @classmethod
+    def of(cls, dense: np.ndarray, width: int) -> _Rows:
+        if dense.shape[1] > width:
+            raise ValueError(f"a feature is not one of {width}")
+        rows = cls(np.zeros(len(dense), np.int64), np.zeros(0, np.int64), np.zeros(0), width)
+        rows.dense = dense if dense.shape[1] == width else np.pad(dense, ((0, 0), (0, width - dense.shape[1])))
+        return rows
+
     def product(self, coefficients: np.ndarray) -> np.ndarray:
         """Log odds (rows x heads)."""
         if self.dense is not None:
@@ -122,14 +180,22 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["indices", "values", "ones"])
 
 
-def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _pack_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _packed(batch.column(2), np.int32)], names=["at_a", "at_b", "ones"])
+
+
+def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights: np.ndarray, features: FeatureTable | None = None) -> Iterator[pa.RecordBatch]:
     """Loss and gradient of all heads over a task's rows, as (cell, value); a head's last two cells are its loss and weight."""
     heads, width = coefficients.shape
     total = np.zeros((heads, width + 2))
     for batch in batches:
         if not len(batch):
             continue
-        rows = _Rows(*_unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float64)[1], width - 1)
+        if features:
+            rows = _Rows.of(features.cells(batch.column(0), batch.column(1)), width - 1)
+        else:
+            rows = _Rows(*_unpacked(batch.column(0), np.int32), _unpacked(batch.column(1), np.float64)[1], width - 1)
         z = rows.product(coefficients)
         sizes, ones = _unpacked(batch.column(2), np.int32)
         y = np.zeros_like(z)
@@ -146,8 +212,11 @@ def _slopes(batches: Iterator[pa.RecordBatch], coefficients: np.ndarray, weights
     yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], names=["cell", "value"])
 
 
-def fit_heads(rows: DataFrame, heads: int, width: int, weights: Sequence[float], reg: float = 1e-3, steps: int = 100) -> Heads:
-    """Logistic models of all heads at once: rows(indices, values, ones), ``ones`` being the heads whose label is 1.
+def fit_heads(
+    rows: DataFrame, heads: int, width: int, weights: Sequence[float], reg: float = 1e-3, steps: int = 100, features: FeatureTable | None = None
+) -> Heads:
+    """Logistic models of all heads at once: rows(indices, values, ones), ``ones`` being the heads whose label is 1; with a feature
+    table, rows(at_a, at_b, ones).
 
     Minimises each head's weighted mean loss plus ``reg`` / 2 times its squared coefficients (not the intercept), a row of label 1
     weighing ``weights[head]``, by limited-memory quasi-Newton steps. A step is one pass over the rows: every head has its own
@@ -156,12 +225,16 @@ def fit_heads(rows: DataFrame, heads: int, width: int, weights: Sequence[float],
     """
     if heads * (width + 1) > MODEL_CELLS:
         raise ValueError(f"{heads} heads of {width} coefficients are more than a fit holds.")
-    typed = rows.select(*[F.col(c).cast(f"array<{kind}>").alias(c) for c, kind in (("indices", "int"), ("values", "double"), ("ones", "int"))])
-    table = durable(typed.mapInArrow(_pack, "indices binary, values binary, ones binary"))
+    if features:
+        table = durable(rows.select("at_a", "at_b", F.col("ones").cast("array<int>").alias("ones")).mapInArrow(_pack_numbers, "at_a long, at_b long, ones binary"))
+        features = replace(features, rows=None)
+    else:
+        typed = rows.select(*[F.col(c).cast(f"array<{kind}>").alias(c) for c, kind in (("indices", "int"), ("values", "double"), ("ones", "int"))])
+        table = durable(typed.mapInArrow(_pack, "indices binary, values binary, ones binary"))
     weight = np.asarray(weights, float)
 
     def evaluate(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sums = table.mapInArrow(lambda batches: _slopes(batches, beta, weight), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        sums = table.mapInArrow(lambda batches: _slopes(batches, beta, weight, features), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         total = np.zeros(heads * (width + 3))
         for r in sums.collect():
             total[r.cell] = r.value
@@ -215,52 +288,91 @@ def _direction(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) ->
     return -q
 
 
-def head_scores(rows: DataFrame, model: Heads, names: Sequence[int], keep: Sequence[str], name: str = "event_idx") -> DataFrame:
-    """``keep`` columns, the head's name and its probability: one row per row and head."""
+def head_scores(
+    rows: DataFrame, model: Heads, names: Sequence[int], keep: Sequence[str], name: str = "event_idx", features: FeatureTable | None = None,
+    ones: str | None = None, label: str = "label",
+) -> DataFrame:
+    """``keep`` columns, the head's name and its probability: one row per row and head; with ``ones``, also whether the head is one of these."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     labels = np.asarray(list(names), np.int64)
+    made = ["at_a", "at_b"] if features else ["indices", "values"]
+    held = replace(features, rows=None) if features else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = 1 / (1 + np.exp(-np.clip(shared.value.log_odds(batch.column(0), batch.column(1)), -700, 700)))
+            score = 1 / (1 + np.exp(-np.clip(shared.value.log_odds(batch.column(0), batch.column(1), held), -700, 700)))
             place = pa.array(np.repeat(np.arange(len(batch)), len(labels)))
             columns = [batch.column(2 + i).take(place) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(labels, len(batch))), pa.array(score.ravel())], names=[*keep, name, "score"])
+            columns += [pa.array(np.tile(labels, len(batch))), pa.array(score.ravel())]
+            if ones:
+                sizes, heads = _flat(batch.column(2 + len(keep)))
+                y = np.zeros(score.shape, bool)
+                y[np.repeat(np.arange(len(batch)), sizes), heads] = True
+                columns.append(pa.array(y.ravel()))
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, name, "score", *([label] if ones else [])])
 
     types = dict(rows.dtypes)
-    return rows.select("indices", "values", *keep).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], f"{name} long", "score double"]))
+    schema = [*[f"`{c}` {types[c]}" for c in keep], f"{name} long", "score double", *([f"`{label}` boolean"] if ones else [])]
+    return rows.select(*made, *keep, *([ones] if ones else [])).mapInArrow(run, ", ".join(schema))
 
 
-def pair_logistic(rows: DataFrame, width: int, label: str = "label", train: str = "partition = 'train'", reg: float = 1e-3, steps: int = 100) -> tuple[DataFrame, Heads]:
-    """rows(indices, values, label, ...) with a ``score`` from a model of the training rows; and the model.
+def pair_logistic(
+    rows: DataFrame, width: int, label: str = "label", train: str = "partition = 'train'", reg: float = 1e-3, steps: int = 100,
+    features: DataFrame | FeatureTable | None = None, keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, Heads]:
+    """rows(indices, values, label, ...) with a ``score`` from a model of the training rows; and the model. ``keep`` says which
+    columns stay, if not all.
 
-    Features are made once, for the fit and the scores, and so are the scores.
+    Rows are made once, for the fit and the scores, and so are the scores. Rows of a feature table need it as ``features``; they
+    are written as numbers.
     """
+    held = features if isinstance(features, FeatureTable) else None
     rows = durable(rows)
     ones = F.when(F.col(label) == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("ones")
-    model = fit_heads(rows.filter(train).select("indices", "values", ones), 1, width, [1.0], reg, steps)
-    keep = [c for c in rows.columns if c not in ("indices", "values")]
-    return durable(head_scores(rows, model, [0], keep, "_head").drop("_head")), model
+    made = ["at_a", "at_b"] if held else ["indices", "values"]
+    model = fit_heads(rows.filter(train).select(*made, ones), 1, width, [1.0], reg, steps, held)
+    keep = [c for c in rows.columns if c not in made] if keep is None else list(keep)
+    return durable(head_scores(rows, model, [0], keep, "_head", held).drop("_head")), model
 
 
 def event_logistic(
-    rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, width: int, reg: float = 1e-3, steps: int = 100
+    rows: DataFrame, labels: DataFrame, vocabulary: DataFrame, prior: DataFrame, width: int, reg: float = 1e-3, steps: int = 100,
+    features: DataFrame | FeatureTable | None = None, keep: Sequence[str] = (), label: str | None = None,
 ) -> DataFrame:
     """rows(pair_id, partition, indices, values) to pair_id, event_idx, score: a weighted head per event of the vocabulary, all
-    fitted together, the training prior elsewhere. The vocabulary is small by contract: heads x ``width`` is the model's size."""
-    rows = durable(rows)
+    fitted together, the training prior elsewhere. The vocabulary is small by contract: heads x ``width`` is the model's size.
+
+    ``keep`` columns of a row stay with its scores, and ``label`` names one that says whether the pair has the event, so that
+    no cell has to be joined afterwards. Rows of a feature table need it as ``features``.
+    """
+    held = features if isinstance(features, FeatureTable) else None
+    kept = ["pair_id", *keep]
     chosen = vocabulary.select(F.col("event_idx").cast("long").alias("event_idx"), F.col("pos_weight").cast("double").alias("pos_weight")).orderBy("event_idx").collect()
     known = prior.join(vocabulary.select("event_idx"), "event_idx", "left_anti")
-    base = known.agg(F.collect_list(F.struct(F.col("event_idx").cast("long").alias("event_idx"), F.col("prior").alias("score")))).scalar()
-    filled = rows.select("pair_id", F.explode(base).alias("p")).select("pair_id", "p.event_idx", "p.score")
-    if not chosen:
-        return filled
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(chosen) for x in (r.event_idx, i)])
-    ones = labels.select("pair_id", F.element_at(place, F.col("event_idx").cast("long")).alias("head")).filter("head IS NOT NULL")
-    ones = ones.groupBy("pair_id").agg(F.collect_set("head").alias("ones"))
-    train = rows.filter("partition = 'train'").join(ones, "pair_id", "left").withColumn("ones", F.coalesce("ones", F.array().cast("array<int>")))
-    model = fit_heads(train, len(chosen), width, [r.pos_weight for r in chosen], reg, steps)
-    return filled.unionByName(head_scores(rows, model, [r.event_idx for r in chosen], ["pair_id"]))
+    base = known.agg(F.collect_list(F.struct(F.col("event_idx").cast("long").alias("event_idx"), F.col("prior").alias("score")))).head()[0]
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(chosen) for x in (r.event_idx, i)]) if chosen else F.lit(None).cast("map<bigint,int>")
+    event = F.col("event_idx").cast("long")
+    found = labels.select("pair_id", F.element_at(place, event).alias("head"), event.alias("event_idx"))
+    if not (base and label):
+        found = found.filter("head IS NOT NULL")
+    found = found.groupBy("pair_id").agg(F.collect_set("head").alias("ones"), F.collect_set(F.when(F.col("head").isNull(), F.col("event_idx"))).alias("_others"))
+    none = {"ones": F.array().cast("array<int>"), "_others": F.array().cast("array<bigint>")}
+    rows = durable(rows.join(found if base and label else found.drop("_others"), "pair_id", "left").withColumns(
+        {c: F.coalesce(c, empty) for c, empty in none.items() if c == "ones" or (base and label)}))
+    out = None
+    if chosen:
+        made = ["at_a", "at_b"] if held else ["indices", "values"]
+        model = fit_heads(rows.filter("partition = 'train'").select(*made, "ones"), len(chosen), width, [r.pos_weight for r in chosen], reg, steps, held)
+        out = head_scores(rows, model, [r.event_idx for r in chosen], kept, features=held, ones="ones" if label else None, label=label or "label")
+    if base or not chosen:
+        cells = F.array(*[F.struct(F.lit(r.event_idx).cast("long").alias("event_idx"), F.lit(r.score).cast("double").alias("score")) for r in base])
+        cells = cells if base else cells.cast("array<struct<event_idx:bigint,score:double>>")
+        filled = rows.select(*kept, *(["_others"] if base and label else []), F.explode(cells).alias("p")).select("*", "p.event_idx", "p.score")
+        if label:
+            filled = filled.withColumn(label, F.array_contains("_others", F.col("event_idx")) if base else F.lit(False))
+        filled = filled.select(*kept, "event_idx", "score", *([label] if label else []))
+        out = filled if out is None else filled.unionByName(out)
+    return out
 
 
 def severity_forest(rows: DataFrame, group: str, target: str, seeds: Sequence[int] = (0, 1, 2, 3, 4), folds: int = 5, trees: int = 20,
